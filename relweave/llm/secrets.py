@@ -30,7 +30,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "token")
 
 #: Runs that may be a key; the least length; characters a token below which a run counts as random.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RATIO = 2.0
 #: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and the form of a UUID.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
