@@ -6,8 +6,11 @@ import importlib
 
 #: Query name, module and function.
 QUERIES = {
+    "op1_langid": "langid",
     "op3_bpe": "bpe_codec",
     "op4_secrets": "secrets",
+    "op5_knn": "knn",
+    "op9_html": "html_extract",
     "op10_packing": "packing",
 }
 
