@@ -167,7 +167,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray, n_docs:
         scores = np.array([x @ model.weights[which] for _, which, x in check])
         truth = np.array([y for y, _, _ in check])
         loss = lambda t: -np.log(np.maximum(softmax(scores / t)[np.arange(len(truth)), truth], 1e-12)).mean()
-        model.temperature = float(min(np.geomspace(0.05, 10, 80), key=loss))
+        model.temperature = float(min(np.geomspace(0.25, 10, 60), key=loss))
     return model
 
 

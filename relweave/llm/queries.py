@@ -10,6 +10,8 @@ QUERIES = {
     "op3_bpe": "bpe_codec",
     "op4_secrets": "secrets",
     "op5_knn": "knn",
+    "op6_jaccard": "jaccard_join",
+    "op7_suffix": "suffix_dedup",
     "op9_html": "html_extract",
     "op10_packing": "packing",
 }
