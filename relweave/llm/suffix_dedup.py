@@ -34,7 +34,7 @@ WINDOW, KGRAM = 400, 96
 #: Window starts that are taken at a time; with a window they have to stay below 2**20.
 PIECE = (1 << 20) - 2 * WINDOW
 #: Bytes of a batch, and distinct segments of an anchor beyond which it is hot.
-BATCH, HOT = 1 << 20, 2000
+BATCH, HOT = 1 << 22, 2000
 BASE = 0x9E3779B97F4A7C15
 
 
