@@ -112,20 +112,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the smallest node.
 
     Alternating large-star and small-star steps. Each step groups by a node and needs that node's smallest
-    neighbour only, which is a partial aggregate; the join back may be split by adaptive execution, so a hub
-    does not land in one task. Lineage is cut after each round by a written table. Nulls and loops are dropped.
+    neighbour only, which is a partial aggregate; that is a table of its own, so adaptive execution can split the
+    join back and a hub does not land in one task. Lineage is cut after each round by a written table. Nulls and loops are dropped.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = materialize(e, "edges")
     before = None
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m"))
+        low = materialize(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m")), "low")
         # large star: every larger neighbour of a node points at the node's smallest neighbour
         e = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(e.where("a <> b").distinct(), "edges")
         # small star: every smaller neighbour, and the node, point at the smallest
-        low = e.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        low = materialize(e.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "low")
         small = e.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = small.union(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         e = materialize(e, "edges")

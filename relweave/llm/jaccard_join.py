@@ -141,6 +141,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
     """Rows (a, b, n): n links of a where b is null, else an edge of a spanning forest of links."""
     member = classes.where("n_shingles > 0").select("rep", F.explode("bands").alias("band"))
     low = member.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
+    low = materialize(low, "bands")
     edges = member.join(low, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     parts = connected_components(edges)
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -193,7 +193,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, ba
     spark = docs.sparkSession
     segs = materialize(all_segments(docs, window, kgram), "segments")
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
-    again = materialize(segs.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor"), "again")
+    # a table of its own, so that adaptive execution can split a hot anchor in the join
+    anchors = materialize(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")
+    again = materialize(segs.join(anchors, "anchor"), "again")
     whole = again.where("same").select("row", "first", "last")
     distinct = again.where("not same").groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("at"))
     distinct = materialize(distinct, "distinct")
