@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Words score positive and tags negative; the weights are log odds of
 being inside an article, counted over a bounded sample of labelled pages, which are those that mark their article
 themselves (an article or main element). Words of navigation, forms, adverts, comments and the like score
-negative. One linear scan finds the contiguous region with the best sum; its live blocks are the text.
+negative. One linear scan finds the contiguous region with the best sum; where most of its words stand in a marked
+article it is extended to the whole of that. Its live blocks are the text.
 
 Edge cases: a null or empty page, or one without words, gives an empty text; unclosed elements end where an outer
 one ends; a broken tag counts as text; repeated pages give a row each; other columns are ignored.
@@ -44,7 +45,7 @@ HINT = {
 MARKED = ("article", "main")
 
 #: Weights where the labelled pages say nothing, and bounds.
-WORD, OUTSIDE, TAG, BLOCK_TAG, LEAST_TAG, MOST = 1.0, -1.0, -0.2, -0.5, -0.01, 4.0
+WORD, OUTSIDE, TAG, BLOCK_TAG, LEAST_TAG, MOST = 1.0, -0.3, -0.2, -0.5, -0.01, 4.0
 
 
 def hinted(attributes: str) -> bool:
@@ -60,8 +61,8 @@ Token = tuple[str, str, bool, bool, str]
 def tokens(page: str) -> list[Token]:
     """(feature, text, starts a block, live, mark) in page order.
 
-    A tag's feature is its name, a text's is "w:" and the element it stands in; the text is empty for tags. mark is
-    the article-like element that stands around it, or nothing."""
+    A tag's feature is its name, a text's is "w:" and the element it stands in; the text is empty for tags. mark
+    names the article-like element that stands around it, or nothing."""
     out: list[Token] = []
     stack: list[tuple[str, bool, str]] = [("", True, "")]
     at, low = 0, ""
@@ -93,7 +94,7 @@ def tokens(page: str) -> list[Token]:
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(page)
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append((name, live, name if marks and live else outer[2]))
+            stack.append((name, live, f"{name} {len(out)}" if marks and live else outer[2]))
     return out
 
 
@@ -140,16 +141,29 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def whole_article(got: list[Token], first: int, last: int) -> tuple[int, int]:
+    """The region, extended to the whole of the article element that holds most of its words, if there is one."""
+    held: Counter = Counter()
+    for feature, text, _, live, mark in got[first:last]:
+        if live and feature.startswith("w:"):
+            held[mark] += len(text.split())
+    best = max(held, key=held.get, default="")
+    if not best:
+        return first, last
+    own = [i for i, t in enumerate(got) if t[4] == best]
+    return min(first, own[0]), max(last, own[-1] + 1)
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     got = tokens(page or "")
     scores = []
     for feature, text, block, live, _ in got:
         if feature.startswith("w:"):
             words = len(text.split())
-            scores.append(words * (max(weights.get(feature, WORD), 0.1) if live else min(weights.get(feature, OUTSIDE), OUTSIDE)))
+            scores.append(words * (max(weights.get(feature, WORD), 0.1) if live else OUTSIDE))
         else:
             scores.append(weights.get(feature, BLOCK_TAG if block else TAG))
-    first, last = best_region(scores)
+    first, last = whole_article(got, *best_region(scores))
     blocks, held = [], []
     for feature, text, block, live, _ in got[first:last]:
         if feature.startswith("w:"):
