@@ -307,12 +307,12 @@ def keyed_upsert_latest(spark, sf):
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 = 0 AND CAST(props->>'k' AS INT) BETWEEN 0 AND 3 THEN 'judged' WHEN event_id % 4 = 2 THEN 'unable_to_judge' ELSE 'invalid_response' END AS status,
-CASE WHEN event_id % 4 = 0 AND CAST(props->>'k' AS INT) BETWEEN 0 AND 3 THEN CAST(props->>'k' AS INT) END AS grade FROM events""")
+CASE WHEN event_id % 4 = 0 AND CAST(props->>'k' AS INT) BETWEEN 0 AND 3 THEN CAST(props->>'k' AS DOUBLE) END AS grade FROM events""")
 def strict_json_grade(spark, sf):
     k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 4
     raw = F.when(kind == 0, F.concat(F.lit('```json\n{"status": "judged", "grade": '), k, F.lit(', "reason": " because "}\n```')))
     raw = raw.when(kind == 1, F.concat(F.lit('{"status": "judged", "grade": "'), k, F.lit('", "reason": "as text"}'))).when(kind == 2, F.lit('{"status": "unable_to_judge", "grade": null, "reason": "unclear"}')).otherwise("not json")
-    return L.parse_judgment(table(spark, sf, "events").select("event_id", raw.alias("raw"))).select("event_id", "status", "grade")
+    return L.parse_judgment(table(spark, sf, "events").select("event_id", raw.alias("raw"))).select("event_id", "status", F.col("grade").cast("double").alias("grade"))
 
 
 @query(f"WITH {JUDGED} SELECT lang, count(*) FILTER (status = 'judged') judged, count(*) FILTER (status = 'unable_to_judge') unable_to_judge, count(*) FILTER (status = 'invalid_response') invalid_response, count(*) total FROM j GROUP BY lang")

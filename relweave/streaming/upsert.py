@@ -11,7 +11,7 @@ from relweave.operators.labels import latest
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by window and event type; works on batch and streaming frames alike."""
-    kept = events.withWatermark("ts", late) if events.isStreaming else events
+    kept = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     got = kept.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return got.select(F.col("w.start").alias("w_start"), "event_type", "n", "total")
 
