@@ -108,11 +108,15 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_partition)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # the same filter on both sides of both joins, so the texts are shuffled once and that exchange is reused
+    own = every.where("doc_id is not null")
     pairs = next_ids(own).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "third")
     sent = add_signatures(own.join(pairs, "doc_id"), "text", "sigs").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, third)").alias("start"), "sigs")
     sent = sent.groupBy("doc_id").agg(F.min(F.struct("start", "sigs")).alias("next"))
-    df = own.join(sent, "doc_id", "left").withColumn("n", F.length("text").cast("long"))
+    lost = every.where("doc_id is null")
+    df = own.join(sent, "doc_id", "left")
+    df = df.union(lost.withColumn("next", F.lit(None).cast(df.schema["next"].dataType))).withColumn("n", F.length("text").cast("long"))
     df = df.withColumn("m", F.floor(F.col("n") / 3).cast("int"))
     start = F.expr("substring(coalesce(next.start, ''), 1, m)")
     df = df.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n as int) - m)"), start))
