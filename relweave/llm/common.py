@@ -50,7 +50,7 @@ def worker_cache() -> dict:
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str, rows: int = 2000) -> DataFrame:
     """mapInArrow with column lists in and out, at most `rows` rows at a time so that whole texts fit in memory."""
     spark = df.sparkSession
-    out_schema = pa.schema(_arrow_schema(spark, schema))
+    out_schema = pa.schema(arrow_fields(spark, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +62,7 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | N
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, ddl: str) -> list[pa.Field]:
+def arrow_fields(spark: SparkSession, ddl: str) -> list[pa.Field]:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -98,7 +98,7 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, li
 
     The caller bounds the groups (salts or blocks are part of the keys)."""
     n = shuffle_partitions(df.sparkSession)
-    out_schema = pa.schema(_arrow_schema(df.sparkSession, schema))
+    out_schema = pa.schema(arrow_fields(df.sparkSession, schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, group in streamed_groups(batches, keys):

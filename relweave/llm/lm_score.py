@@ -21,11 +21,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm.common import map_groups, read, shuffle_partitions
+from relweave.llm.common import arrow_fields, map_groups, read, shuffle_partitions
 from relweave.llm.jaccard_join import MIX, mixed, word_hashes
 
 ORDER, ALPHA = 2, 0.4
@@ -97,6 +98,16 @@ def score_document(keys: list[np.ndarray], table: np.ndarray, totals: np.ndarray
     return n, top, float(score.sum())
 
 
+def in_arrow(fn, layout: pa.Schema):
+    """A function of (key, columns) that yields columns once, as one of Arrow tables."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        (got,) = fn(tuple(k.as_py() for k in key), table.to_pydict())
+        return pa.Table.from_arrays([pa.array(got[f.name], f.type) for f in layout], schema=layout)
+
+    return run
+
+
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch: int = BATCH) -> DataFrame:
     """(doc_id, n_words, n_top, log10_prob, score) of every row; score is log10_prob a word."""
     spark = docs.sparkSession
@@ -126,23 +137,23 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch: int
             yield {"b": [b], "p": [key[0]], "totals": [pack_counts(total[inverse[at : at + len(k)]])]}
             at += len(k)
 
-    asked = map_groups(dealt, ["b"], ask, "p int, b int, keys binary, counts binary", sort=["doc_id"])
+    # grouped by the same key in the same way, so that the exchange of the texts is made once and reused
+    texts = dealt.groupBy("b")
+    entry = "p int, b int, keys binary, counts binary"
+    asked = texts.applyInArrow(in_arrow(ask, pa.schema(arrow_fields(spark, entry))), entry)
     told = map_groups(asked, ["p"], add_up, "b int, p int, totals binary", sort=["b"])
+    out = "doc_id long, n_words long, n_top long, log10_prob double, score double"
+    schema = pa.schema(arrow_fields(spark, out))
 
-    def sum_up(key: tuple, cols: dict[str, list]) -> Iterator[dict[str, list]]:
-        mine = [i for i, p in enumerate(cols["p"]) if p < 0]
-        docs_, table, _ = batch_table([cols["text"][i] for i in mine], order)
-        totals = np.concatenate([unpack_counts(t) for p, t in zip(cols["p"], cols["totals"], strict=True) if p >= 0])
+    def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        docs_, table, _ = batch_table(left.column("text").to_pylist(), order)
+        answers = sorted(zip(right.column("p").to_pylist(), right.column("totals").to_pylist(), strict=True))
+        totals = np.concatenate([unpack_counts(t) for _, t in answers])
         got = [score_document(d, table, totals, alpha) for d in docs_]
-        yield {
-            "doc_id": [cols["doc_id"][i] for i in mine], "n_words": [g[0] for g in got], "n_top": [g[1] for g in got],
-            "log10_prob": [g[2] for g in got], "score": [g[2] / g[0] if g[0] else None for g in got],
-        }
+        cols = [left.column("doc_id").to_pylist(), *([g[i] for g in got] for i in range(3)), [g[2] / g[0] if g[0] else None for g in got]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    none = lambda kind: F.lit(None).cast(kind)
-    both = dealt.select("b", F.lit(-1).alias("p"), "doc_id", "text", none("binary").alias("totals"))
-    both = both.union(told.select("b", "p", none("long"), none("string"), "totals"))
-    return map_groups(both, ["b"], sum_up, "doc_id long, n_words long, n_top long, log10_prob double, score double", sort=["p"])
+    return texts.cogroup(told.groupBy("b")).applyInArrow(sum_up, out)
 
 
 def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
