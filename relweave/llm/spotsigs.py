@@ -108,7 +108,9 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures, length_partition)."""
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # a cast that does nothing would leave an alias on one side of the self join, and two different exchanges
+    key = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    every = docs.select(key, F.coalesce("text", F.lit("")).alias("text"))
     # the same filter on both sides of both joins, so the texts are shuffled once and that exchange is reused
     own = every.where("doc_id is not null")
     pairs = next_ids(own).select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "third")
