@@ -20,7 +20,7 @@ import regex
 from relweave.llm.common import worker_cache
 
 #: Fixed value: the pre-tokenizer's pattern of the word vocabulary.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE = regex.compile(r"\p{White_Space}+")
 #: str.split() also splits at these, which are no white space to the pre-tokenizer.
 CONTROL = regex.compile("[\x1c-\x1f]")
@@ -63,6 +63,32 @@ def lookahead(rules: Iterable[tuple[str, str]]) -> int:
     return most
 
 
+def newer() -> tuple[regex.Pattern, dict[int, str]]:
+    """(pattern of a word's pieces, lower case) that are right for characters newer than Python's tables too.
+
+    The regex module, Python and the tokenizers library follow different editions of Unicode. For characters that
+    Python does not know and the regex module calls letters or numbers, the library's own matcher and lower case say
+    what they are.
+    """
+    held = worker_cache()
+    if "newer" not in held:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+        asked = regex.findall(r"[\p{L}\p{N}]", unknown)
+        cut, lower = pre_tokenizers.Split(Regex(WORD), "removed", invert=True), normalizers.Lowercase().normalize_str
+        joined = lambda mark: {piece[1] for piece, _ in cut.pre_tokenize_str(" ".join(mark + c for c in asked)) if len(piece) == 2}
+        letters, others = joined("a"), joined("!")
+        none = r"[^\s\S]"
+        held_in = lambda chars: "[" + "".join(sorted(chars)) + "]" if chars else none
+        letter = rf"[[\p{{L}}--{held_in(asked)}]||{held_in(letters)}]"
+        number = rf"[[\p{{N}}--{held_in(asked)}]||{held_in(set(asked) - letters - others)}]"
+        rest = rf"[^[\p{{White_Space}}\p{{L}}\p{{N}}]--{held_in(others)}]"
+        pattern = rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{rest}+"
+        held["newer"] = regex.compile(pattern, regex.V1), {ord(c): low for c in asked if (low := lower(c)) != c}
+    return held["newer"]
+
+
 class Bpe:
     """A word-end BPE vocabulary file of the tokenizers library."""
 
@@ -83,6 +109,7 @@ class Bpe:
         one = lambda t: t[: -len(END) - 1] + chr(0xE000 + ord(t[-len(END) - 1])) if t.endswith(END) and len(t) > len(END) else t  # noqa: E731  a final symbol is one character
         self.lookahead = lookahead((one(a), one(b)) for a, b in pairs)
         self.buffer = 2 * self.lookahead
+        self.pieces, self.lower = newer()
 
     @staticmethod
     def load(path: str) -> Bpe:
@@ -158,7 +185,9 @@ class Bpe:
         """Tokens of a lower-case string without white space."""
         if text.isalpha():
             return self.word(text)
-        return [i for piece in WORD.findall(text) for i in self.word(piece)]
+        if not text.isascii():
+            text = text.translate(self.lower)
+        return [i for piece in self.pieces.findall(text) for i in self.word(piece)]
 
     def chunks(self, text: str) -> Iterator[str | int]:
         """Normalised strings without white space, and the ids of special tokens between them."""

@@ -122,6 +122,14 @@ def test_bpe_matches(spark, tokenizer):
     assert bpe_codec.digests(frame(spark, []), VOCAB).count() == 0
 
 
+def test_bpe_unicode(tokenizer):
+    """Every character between letters, alone and before a digit: characters of newer Unicode editions too."""
+    own = bpe.Bpe.load(VOCAB)
+    texts = [f"a{chr(c)}b {chr(c)}1" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0 or 0x1C880 <= c < 0x20000 or 0x10000 <= c < 0x11000)]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text) == want.ids, text.encode("unicode-escape")
+
+
 def test_bpe_round_trip(spark):
     docs = frame(spark, ["plain words, and é ü!", None, "🙂 ok"])
     got = bpe_codec.decode(bpe_codec.encode(docs, VOCAB), VOCAB, "plain").orderBy("doc_id").collect()
