@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from relweave.functions.scalars import provenance, seeded_order
 from relweave.operators import agreement as A
 from relweave.operators import candidates as C
+from relweave.operators import evaluation as E
 from relweave.operators import graph as G
 from relweave.operators import labels as L
 from relweave.operators import metrics as M
@@ -534,6 +535,46 @@ def random_baseline(spark, sf):
     return rounded(N.hash_scorer(tasks, 0), "score")
 
 
+@query(f"""WITH {RANKED}, jq AS (SELECT q.* FROM q WHERE cand % 3 = 0), cov AS (SELECT cond, count(*) FILTER (cand % 3 = 0) / count(*) coverage FROM q GROUP BY cond HAVING count(*) FILTER (cand % 3 = 0) > 0),
+c AS (SELECT r.cond, r.cand, grade, row_number() OVER (PARTITION BY r.cond ORDER BY rank) rank FROM r JOIN jq ON r.cond = jq.cond AND r.cand = jq.cand), ks(k) AS (VALUES (1), (3), (5), (10)),
+n AS (SELECT cond, sum((grade >= 2)::INT) n FROM jq GROUP BY cond)
+SELECT cov.cond, k, round(coverage, 6) coverage, round(CASE WHEN n = 0 THEN 0 ELSE coalesce(sum((rank <= k AND grade >= 2)::INT), 0) / n END, 6) recall, round(coalesce(avg((grade >= 2)::INT) FILTER (rank <= k), 0), 6) AS precision,
+round(coalesce(1 / min(rank) FILTER (grade >= 3), 0), 6) mrr FROM cov JOIN n ON n.cond = cov.cond CROSS JOIN ks LEFT JOIN c ON c.cond = cov.cond GROUP BY cov.cond, k, coverage, n""")
+def result_evaluation(spark, sf):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand"))), lambda x: x["cand"])
+    results = ranking(spark, sf).groupBy("cond").agg(ordered.alias("signals"))
+    status = F.when(F.col("cand") % 3 == 0, "judged").otherwise("unable_to_judge")
+    return rounded(E.evaluate_results(results, qrels(spark, sf).withColumn("status", status), True).drop("ndcg"), "coverage", "recall", "precision", "mrr")
+
+
+@query("SELECT count(*) n, count(*) FILTER (event_id % 3 = 0) correct, round(count(*) FILTER (event_id % 3 = 0) / count(*), 6) accuracy, count(*) FILTER (event_id % 3 = 0 OR event_id % 5 = 0) explored_correct, round(count(*) FILTER (event_id % 3 = 0 OR event_id % 5 = 0) / count(*), 6) hit_rate FROM events")
+def root_rates(spark, sf):
+    own = lambda m: F.when(F.col("event_id") % m == 0, F.col("event_type")).otherwise("elsewhere")
+    tasks = table(spark, sf, "events").select(F.col("event_id").alias("task"), F.col("event_type").alias("expected"), F.array(own(3), own(5)).alias("explored"))
+    return rounded(E.root_rates(E.root_selection(tasks)), "accuracy", "hit_rate")
+
+
+@query(f"WITH {RERANK} SELECT cond, min(cand) FILTER (method = 'A') AS a_top, min(cand) FILTER (method = 'B') AS b_top FROM r WHERE rank = 1 GROUP BY cond")
+def condition_overview(spark, sf):
+    return E.condition_overview(weights(spark, sf), ["A", "B"]).select("cond", F.col("A").alias("a_top"), F.col("B").alias("b_top"))
+
+
+@query(f"WITH {RERANK} SELECT r.cond, r.rank::INT AS rank, r.cand, w.w score FROM r JOIN w USING (cond, cand, method) WHERE r.method = 'A' AND r.rank <= 5")
+def top_signals(spark, sf):
+    return E.top_signals(weights(spark, sf).where("method = 'A'").select("cond", "cand", F.col("w").alias("score")))
+
+
+@query(f"WITH {WEIGHTS} SELECT cond, round(avg(w) FILTER (method = 'A'), 6) mean_a, round(avg(w) FILTER (method = 'B'), 6) mean_b FROM w GROUP BY cond")
+def score_heatmap(spark, sf):
+    return rounded(E.heatmap(weights(spark, sf), "cond", "method", "w", ["A", "B"]).select("cond", F.col("A").alias("mean_a"), F.col("B").alias("mean_b")), "mean_a", "mean_b")
+
+
+@query("SELECT conv_id task, turn branch, CASE WHEN turn % 4 <> 0 AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 1) THEN turn - 1 END parent, role AS action FROM (SELECT DISTINCT conv_id, turn, min(role) OVER (PARTITION BY conv_id, turn) AS role FROM conversations) c")
+def search_tree(spark, sf):
+    steps = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("task"), F.col("turn").alias("branch")).agg(F.array(F.lit("start"), F.min("role")).alias("history"))
+    return E.tree_links(steps.withColumn("parent", F.when(F.col("branch") % 4 != 0, F.col("branch") - 1)))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) w_start, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY ALL")
 def windowed_events(spark, sf):
     return event_counts(table(spark, sf, "events")).withColumn("total", F.round("total", 4))
