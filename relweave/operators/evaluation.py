@@ -53,7 +53,7 @@ def judge(tasks: DataFrame, respond: Callable[[list[str]], list[str]], path: str
     """Judgments of tasks (key, prompt): status, grade, reason, parse_error and attempt for each key.
 
     respond answers a batch of prompts. Answers that cannot be read are asked for again, up to `attempts` times. Each
-    pass is written below path before the next, so that an answer is asked for once whatever becomes of the executors.
+    pass is written below path before the next, so a finished pass is not asked again; a task lost inside a pass is.
     """
     spark = tasks.sparkSession
     layout = ", ".join(f"{k} {tasks.schema[k].dataType.simpleString()}" for k in key)
