@@ -29,9 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Rows that a task writes at least, where a table's size is bounded and too small to fill all partitions.
+ROWS = 100_000
+
+
+def materialize(df: DataFrame, name: str, bound: int | None = None, rows: int = ROWS) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    bound: the most rows it can have. A small table is then written by fewer tasks, not as a tiny file from each
+    partition; only for plans whose last stage does little work a row."""
     spark = df.sparkSession
+    if bound is not None and (parts := max(1, -(-bound // rows))) < shuffle_partitions(spark):
+        df = df.coalesce(parts)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -108,38 +117,30 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[tuple, dict[str, li
     return df.repartition(n, *keys).sortWithinPartitions(*keys, *(sort or [])).mapInArrow(run, schema)
 
 
-#: Edges that a task of a round writes, where there are fewer than fill all partitions.
-EDGES = 100_000
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, most: int | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the smallest node.
 
     Alternating large-star and small-star steps. Each step groups by a node and needs that node's smallest
     neighbour only, which is a partial aggregate; that is a table of its own, so adaptive execution can split the
     join back and a hub does not land in one task. Lineage is cut after each round by a written table. A round never
     has more edges than there were at first, so their count bounds the files of each table: a small graph does
-    not become thousands of tiny files. Nulls and loops are dropped.
+    not become thousands of tiny files; most bounds the edges given, if known. Nulls and loops are dropped.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialize(e, "edges")
-    parts = max(1, min(shuffle_partitions(e.sparkSession), -(-e.count() // EDGES)))
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df.coalesce(parts), name)
-
+    e = materialize(e, "edges", most)
+    bound = e.count()
     before = None
     for _ in range(max_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m")), "low")
+        low = materialize(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("n")).alias("m")), "low", 2 * bound)
         # large star: every larger neighbour of a node points at the node's smallest neighbour
         e = both.where("b > a").join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = written(e.where("a <> b").distinct(), "edges")
+        e = materialize(e.where("a <> b").distinct(), "edges", bound)
         # small star: every smaller neighbour, and the node, point at the smallest
-        low = written(e.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "low")
+        low = materialize(e.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "low", bound)
         small = e.join(low, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = small.union(low.select(F.col("n").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(e, "edges")
+        e = materialize(e, "edges", bound)
         now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             break

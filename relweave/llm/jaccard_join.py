@@ -139,11 +139,12 @@ def features(docs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (a, b, n): n links of a where b is null, else an edge of a spanning forest of links."""
+    most = BANDS * classes.count()
     member = classes.where("n_shingles > 0").select("rep", F.explode("bands").alias("band"))
     low = member.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    low = materialize(low, "bands")
+    low = materialize(low, "bands", most)
     edges = member.join(low, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    parts = connected_components(edges)
+    parts = connected_components(edges, most=most)
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     parts = parts.join(sizes, "component").select("component", F.col("node").alias("rep"), "blocks", block.alias("own"))
@@ -200,7 +201,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = materialize(features(docs), "shingles")
     classes = found.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+    # a row holds BANDS numbers, so fewer rows a task
+    classes = materialize(classes, "classes", found.count(), rows=10_000)
     got = materialize(links(docs, classes, threshold), "links")
     n_links = got.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
     parts = connected_components(got.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")

@@ -192,13 +192,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, ba
     """(row, first, last): runs of windows, by first and last start, that occur elsewhere too. Runs may overlap."""
     spark = docs.sparkSession
     segs = materialize(all_segments(docs, window, kgram), "segments")
+    most = segs.count()
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
     # a table of its own, so that adaptive execution can split a hot anchor in the join
-    anchors = materialize(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")
+    anchors = materialize(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors", most)
     again = materialize(segs.join(anchors, "anchor"), "again")
     whole = again.where("same").select("row", "first", "last")
     distinct = again.where("not same").groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("at"))
-    distinct = materialize(distinct, "distinct")
+    distinct = materialize(distinct, "distinct", most)
     many = distinct.where("n > 1").select("anchor", "seg")
     several = again.where("not same").join(many, ["anchor", "seg"], "left_semi").select("row", "first", "last")
     hot_anchors = distinct.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor", F.lit(True).alias("hot"))
