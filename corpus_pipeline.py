@@ -19,8 +19,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id in each group."""
-    return jaccard_join.deduplicated(docs)
+    """Keeps the document of smallest doc_id in each group, without passages of over 50 words that others kept share.
+
+    The passages are cut here, whatever their bytes, since repeated_passages is defined by bytes alone."""
+    kept = materialize(jaccard_join.deduplicated(docs), "kept")
+    return suffix_dedup.without_repeated_words(kept)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

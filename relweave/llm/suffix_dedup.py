@@ -15,12 +15,16 @@ anchor are a segment; a text of n bytes has about n / 150 of them, and only thes
 Edge cases: a null text is empty; a text shorter than the window keeps all bytes; equal texts (repeated rows too)
 repeat each other; rows are told apart by doc_id and text, so a null or repeated doc_id does no harm; an empty
 table gives no rows; other columns are ignored. Long texts are taken in pieces that overlap by a window.
+
+The corpus pipeline also cuts passages of WORDS words, however short they are in bytes. The same method finds them:
+a text is then its words' 64-bit hashes, white space apart, and windows are counted in words (`repeated_words`).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,9 @@ from pyspark.sql import functions as F
 from relweave.llm.common import map_arrow, materialize, read, shuffle_partitions, worker_cache
 
 WINDOW, KGRAM = 400, 96
+#: The same in words, and bytes of a word's hash.
+WORDS, WORD_KGRAM, HASHED = 51, 12, 8
+WORD = re.compile(r"\S+")
 #: Window starts that are taken at a time; with a window they have to stay below 2**20.
 PIECE = (1 << 20) - 2 * WINDOW
 #: Bytes of a batch, and distinct segments of an anchor beyond which it is hot.
@@ -87,35 +94,43 @@ def as_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def all_segments(docs: DataFrame, window: int, kgram: int) -> DataFrame:
+def as_hashes(text: str | None) -> bytes:
+    """HASHED bytes a word."""
+    return b"".join(xxhash.xxh3_64_digest(as_bytes(w)) for w in WORD.findall(text or ""))
+
+
+def symbols(data: bytes, unit: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if unit == 1 else np.uint64)
+
+
+def all_segments(docs: DataFrame, window: int, kgram: int, coded: Callable[[str | None], bytes] = as_bytes, unit: int = 1) -> DataFrame:
     """(row, first, last, anchor, seg) of every segment of every text; seg is a hash of the segment's bytes."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("row", "first", "last", "anchor", "seg")}
         for row, text in zip(cols["row"], cols["text"], strict=True):
-            raw = as_bytes(text)
-            for at in range(0, len(raw) - window + 1, PIECE):
-                view = raw[at : at + PIECE + window - 1]
-                first, last, anchor = segments(np.frombuffer(view, np.uint8), window, kgram)
+            raw = coded(text)
+            for at in range(0, len(raw) // unit - window + 1, PIECE):
+                view = raw[at * unit : (at + PIECE + window - 1) * unit]
+                first, last, anchor = segments(symbols(view, unit), window, kgram)
                 out["row"] += [row] * len(first)
                 out["first"].append(first + at)
                 out["last"].append(last + at)
                 out["anchor"].append(anchor)
-                out["seg"] += [xxhash.xxh3_64_intdigest(view[f : e + window]) - (1 << 63) for f, e in zip(first.tolist(), last.tolist(), strict=True)]
+                out["seg"] += [xxhash.xxh3_64_intdigest(view[f * unit : (e + window) * unit]) - (1 << 63) for f, e in zip(first.tolist(), last.tolist(), strict=True)]
         return out | {n: np.concatenate(out[n]) if out[n] else [] for n in ("first", "last", "anchor")}
 
     return map_arrow(docs.select(row_key().alias("row"), "text"), run, "row long, first int, last int, anchor long, seg long")
 
 
 def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the length-byte string at each position, in lexicographic order, by prefix doubling; zeros follow the end."""
-    n = len(text)
-    padded = np.concatenate((text, np.zeros(length + 8, np.uint8)))
+    """Rank of the string of length symbols at each position, in lexicographic order, by prefix doubling; zeros follow the end."""
+    n, have = len(text), 8 if text.dtype == np.uint8 else 1
+    padded = np.concatenate((text, np.zeros(length + 8, text.dtype)))
     key = np.zeros(n + length, np.uint64)
-    for i in range(8):
+    for i in range(have):
         key = key << np.uint64(8) | padded[i : i + n + length].astype(np.uint64)
     rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    have = 8
     while have < length:
         step = min(have, length - have)
         size = len(rank)
@@ -136,12 +151,12 @@ class Level:
 class LogIndex:
     """Levels of suffix arrays whose sizes are powers of two of a batch; finds the windows that occur twice."""
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.levels, self.repeated, self.count = window, [], [], 0
+    def __init__(self, window: int = WINDOW, unit: int = 1):
+        self.window, self.unit, self.levels, self.repeated, self.count = window, unit, [], [], 0
 
     def add(self, batch: list[bytes]) -> None:
-        """Add segments of at least window bytes; their windows get the next numbers, segment by segment."""
-        sizes = np.array([len(s) for s in batch])
+        """Add segments of at least window symbols; their windows get the next numbers, segment by segment."""
+        sizes = np.array([len(s) // self.unit for s in batch])
         ends = np.cumsum(sizes)
         starts = np.concatenate([np.arange(e - n, e - self.window + 1) for e, n in zip(ends, sizes, strict=True)])
         numbers = np.arange(self.count, self.count + len(starts))
@@ -149,7 +164,7 @@ class LogIndex:
         self.repeated.append(np.zeros(len(starts), bool))
         flags = np.concatenate(self.repeated)
         self.repeated = [flags]
-        level, order = self._sorted(np.frombuffer(b"".join(batch), np.uint8), starts, numbers)
+        level, order = self._sorted(symbols(b"".join(batch), self.unit), starts, numbers)
         self._scan(level, order, flags)
         rank = 0
         while rank < len(self.levels) and self.levels[rank] is not None:
@@ -190,8 +205,18 @@ def runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
     """(row, first, last): runs of windows, by first and last start, that occur elsewhere too. Runs may overlap."""
+    return repeated_symbols(docs, window, kgram, batch, hot, as_bytes, 1)
+
+
+def repeated_words(docs: DataFrame, words: int = WORDS, kgram: int = WORD_KGRAM, batch: int = BATCH, hot: int = HOT) -> DataFrame:
+    """The same of windows of words; first and last are numbers of words."""
+    return repeated_symbols(docs, words, kgram, batch, hot, as_hashes, HASHED)
+
+
+def repeated_symbols(docs: DataFrame, window: int, kgram: int, batch: int, hot: int, coded: Callable[[str | None], bytes], unit: int) -> DataFrame:
+    """Runs of windows of symbols; coded gives a text's symbols, each of unit bytes."""
     spark = docs.sparkSession
-    segs = materialize(all_segments(docs, window, kgram), "segments")
+    segs = materialize(all_segments(docs, window, kgram, coded, unit), "segments")
     most = segs.count()
     anchors = segs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
     # a table of its own, so that adaptive execution can split a hot anchor in the join
@@ -210,20 +235,20 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, ba
     def cut(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("row", "first", "anchor", "n", "hot", "data")}
         for row, text, want in zip(cols["row"], cols["text"], cols["want"], strict=True):
-            raw = as_bytes(text)
+            raw = coded(text)
             for w in want:
-                for name, value in zip(out, (row, w["first"], w["anchor"], w["n"], w["hot"], raw[w["first"] : w["last"] + window]), strict=True):
+                for name, value in zip(out, (row, w["first"], w["anchor"], w["n"], w["hot"], raw[w["first"] * unit : (w["last"] + window) * unit]), strict=True):
                     out[name].append(value)
         return out
 
     pieces = materialize(map_arrow(texts.select("row", "text", "want"), cut, "row long, first int, anchor long, n long, hot boolean, data binary", rows=500), "pieces")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, size, owners = LogIndex(window), [], 0, []
+        family, held, size, owners = LogIndex(window, unit), [], 0, []
         for part in batches:
             for row, first, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 held.append(data)
-                owners.append((row, first, len(data) - window + 1))
+                owners.append((row, first, len(data) // unit - window + 1))
                 size += len(data)
                 if size >= batch:
                     family.add(held)
@@ -244,8 +269,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, kgram: int = KGRAM, ba
     def windows(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {n: [] for n in ("row", "first", "w", "n")}
         for row, first, n, data in zip(cols["row"], cols["first"], cols["n"], cols["data"], strict=True):
-            for i in range(len(data) - window + 1):
-                w = xxhash.xxh3_128_digest(data[i : i + window])
+            for i in range(len(data) // unit - window + 1):
+                w = xxhash.xxh3_128_digest(data[i * unit : (i + window) * unit])
                 for name, value in zip(out, (row, first + i, w, n), strict=True):
                     out[name].append(value)
         return out
@@ -321,5 +346,27 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return map_arrow(with_spans(typed, ["doc_id", "lang", "source", "n_chars"], window), run, "doc_id long, text string, lang string, source string, n_chars long")
 
 
+def without_repeated_words(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """documents without passages of so many words that occur elsewhere, and n_chars counted anew."""
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        texts, n = [], []
+        for text, spans, old in zip(cols["text"], cols["spans"], cols["n_chars"], strict=True):
+            if spans:
+                out, at, places = [], 0, [m.span() for m in WORD.finditer(text)]
+                for a, b in covered(spans, words):
+                    out.append(text[at : places[a][0]])
+                    at = places[b - 1][1]
+                text = "".join([*out, text[at:]])
+                old = len(text)
+            texts.append(text)
+            n.append(old)
+        return {"doc_id": cols["doc_id"], "text": texts, "lang": cols["lang"], "source": cols["source"], "n_chars": n}
+
+    spans = repeated_words(docs, words).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    typed = docs.select("doc_id", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"), "text", row_key().alias("row"))
+    return map_arrow(typed.join(spans, "row", "left").drop("row"), run, "doc_id long, text string, lang string, source string, n_chars long")
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))

@@ -37,6 +37,43 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in packed) == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in docs.collect())
 
 
+def test_short_passages(spark, tmp_path):
+    from tests.llm.test_operators import frame
+
+    passage = [f"w{i % 10}{chr(97 + i % 7)}" for i in range(51)]
+    short, own = " ".join(passage), [" ".join(f"{c}{i}" for i in range(60)) for c in "pqrs"]
+    texts = [f"{own[0]} {short} é end", f"{own[1]}  {short.replace(' ', chr(10), 7)}\u3000last words", f"{own[2]} {' '.join(passage[:50])} other", f"{own[3]} alone", None]
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert len(short.encode()) < 400 and len(got) == len(texts)
+    assert got[0]["text"] == f"{own[0]}  é end" and got[0]["n_chars"] == len(own[0]) + 7
+    assert got[1]["text"] == f"{own[1]}  \u3000last words"
+    assert [got[i]["text"] for i in (2, 3, 4)] == texts[2:]
+
+
+@pytest.mark.parametrize(("hot", "batch"), [(2000, 1 << 22), (5, 2000)])
+def test_repeated_words(spark, hot, batch):
+    import collections
+    import random
+
+    from relweave.llm import suffix_dedup
+    from tests.llm.test_operators import frame
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(1, 6)))
+    shared = [[word() for _ in range(70)] for _ in range(3)]
+    lists = []
+    for i in range(90):
+        a = r.randrange(15)
+        lists.append([*(word() for _ in range(r.randrange(40))), *shared[i % 3][a : a + r.randrange(45, 56)], *(word() for _ in range(r.randrange(40)))])
+    lists += [["so"] * 300, [], ["The", "cat"]]
+    n = collections.Counter(tuple(w[i : i + 51]) for w in lists for i in range(len(w) - 50))
+    want = {(k, i) for k, w in enumerate(lists) for i in range(len(w) - 50) if n[tuple(w[i : i + 51])] > 1}
+    docs = frame(spark, [" ".join(w) for w in lists])
+    spans = suffix_dedup.repeated_words(docs, 51, 12, batch, hot).join(docs.select("doc_id", suffix_dedup.row_key().alias("row")), "row").collect()
+    assert want and {(s["doc_id"], i) for s in spans for i in range(s["first"], s["last"] + 1)} == want
+
+
 def test_registered():
     import __spark_entry__
 
