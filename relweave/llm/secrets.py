@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and a token-efficiency test for random strings.
 
 A string that a byte-pair vocabulary cuts into short tokens is unlike the text the vocabulary was made from, so
-a low number of characters a token exposes keys and passwords. Candidates are long runs of key characters that
-hold at least a letter and a digit; digests (hex of a digest's length), UUIDs and plain numbers are no secrets.
+a low number of characters a token exposes keys and passwords. Candidates are long runs of key characters with a
+letter; digests (hex of a digest's length), UUIDs and plain numbers are no secrets.
 
 Spans are (kind, start, end) in code points, end exclusive. The kinds: assign, access, hex (fixed patterns,
 leftmost, not overlapping within a kind) and token (this test), which is added where no other span is touched.
@@ -69,10 +69,10 @@ def vocabulary_encoder(path: str):
 
 
 def is_known(run: str) -> bool:
-    """A digest, a UUID or an identifier without both letters and digits."""
+    """A digest, a UUID or a number."""
     if ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return True
-    return not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run))
+    return not any(c.isalpha() for c in run)
 
 
 def token_spans(text: str, path: str, taken: list[Span], ratio: float = RATIO) -> list[Span]:

@@ -175,6 +175,16 @@ def test_secrets(spark):
     assert clean[4]["text"] == "see [SECRET] here" and clean[4]["n_chars"] == 17 and clean[7]["text"] is None and clean[12]["text"] == "The cat"
 
 
+def test_secrets_letters_only():
+    r = random.Random(5)
+    for n in (16, 24, 40):
+        keys = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n)) for _ in range(200)]
+        found = sum(secrets.scan(f"see {k} here", RANKS)[1] == [("token", 4, 4 + n)] for k in keys)
+        assert found >= 198
+    for plain in ("internationalisation", "state-of-the-art-equipment", "1234567890123456789", "2024-10-11-12-13-14", "_" * 40, "=" * 17):
+        assert secrets.scan(f"see {plain} here", RANKS)[1] == []
+
+
 # --- top-k
 
 
