@@ -5,7 +5,8 @@ a low number of characters a token exposes keys and passwords. Candidates are lo
 letter; digests (hex of a digest's length), UUIDs and plain numbers are no secrets.
 
 Spans are (kind, start, end) in code points, end exclusive. The kinds: assign, access, hex (fixed patterns,
-leftmost, not overlapping within a kind) and token (this test), which is added where no other span is touched.
+leftmost, not overlapping within a kind) and token (this test), which is sought in what the others leave. A run that
+is no secret as a whole, such as a path, is taken apart at its separators, and its random parts are secrets.
 
 Edge cases: a null text is empty; an empty text has no spans; null or repeated doc_ids give one row each.
 """
@@ -32,6 +33,10 @@ KINDS = ("assign", "access", "hex", "token")
 #: Runs that may be a key; the least length; characters a token below which a run counts as random.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 RATIO = 2.0
+LEAST = 16
+SEPARATED = re.compile(r"[A-Za-z0-9]+")
+#: Characters of a part that does not end a row of random parts, as a key may hold a separator twice in a row of a few.
+SHORT = 3
 #: Hex lengths of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), and the form of a UUID.
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 ALL_HEX = re.compile(r"[0-9a-fA-F]+")
@@ -75,14 +80,49 @@ def is_known(run: str) -> bool:
     return not any(c.isalpha() for c in run)
 
 
+def outside(start: int, end: int, taken: list[Span]) -> list[tuple[int, int]]:
+    """What the taken spans, which are in order of their starts, leave of start to end."""
+    out, at = [], start
+    for _, s, e in taken:
+        if s < end and e > at:
+            if s > at:
+                out.append((at, s))
+            at = e
+    return out + [(at, end)] * (at < end)
+
+
+def random_parts(run: str, efficient) -> list[tuple[int, int]]:
+    """Rows of neighbouring parts between separators that are each random, and LEAST characters or more together."""
+    out: list[tuple[int, int]] = []
+    row: tuple[int, int] | None = None
+    for m in [*SEPARATED.finditer(run), None]:
+        if m is not None and not efficient(m[0]):
+            row = (row[0] if row else m.start(), m.end())
+        elif m is None or len(m[0]) > SHORT:
+            if row and row[1] - row[0] >= LEAST and not is_known(run[slice(*row)]):
+                out.append(row)
+            row = None
+    return out
+
+
 def token_spans(text: str, path: str, taken: list[Span], ratio: float = RATIO) -> list[Span]:
+    def efficient(part: str) -> bool:
+        return len(part) / len(vocabulary_encoder(path).encode_ordinary(part)) >= ratio
+
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if is_known(run) or any(s < m.end() and m.start() < e for _, s, e in taken):
-            continue
-        if len(run) / len(vocabulary_encoder(path).encode_ordinary(run)) < ratio:
-            out.append(("token", *m.span()))
+        for start, end in outside(*m.span(), taken):
+            run = text[start:end]
+            if end - start < m.end() - m.start():
+                # a separator beside another span is no part of the key
+                start += len(run) - len(run.lstrip("+/_=-"))
+                run = text[start:end].rstrip("+/_-")
+            if len(run) < LEAST or is_known(run):
+                continue
+            if not efficient(run):
+                out.append(("token", start, start + len(run)))
+            else:
+                out += [("token", start + a, start + b) for a, b in random_parts(run, efficient)]
     return out
 
 

@@ -185,6 +185,21 @@ def test_secrets_letters_only():
         assert secrets.scan(f"see {plain} here", RANKS)[1] == []
 
 
+def test_secrets_parts():
+    key, base64 = "Zx9Kq7Wv3Lp0Rt5Ny8Bm", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ9kLt3vGh"
+    for before in ("session-key-production-", "https/example/download/files/", "config/settings/database/connection/", "a_name_of_some_length/"):
+        for after in ("", "/download/the/whole/archive/directory"):
+            at = 4 + len(before)
+            assert [s for s in secrets.scan(f"see {before}{key}{after} here", RANKS)[1] if s[1] <= at and s[2] >= at + len(key)]
+            assert secrets.scan(f"see {before}internationalisation{after} here", RANKS)[1] == []
+    text = "AKIA" + "A1B2" * 4 + "/" + base64
+    assert secrets.scan(text, RANKS)[1] == [("access", 0, 20), ("token", 21, len(text))]
+    assert secrets.redact(text, secrets.scan(text, RANKS)[1]) == "[SECRET]/[SECRET]"
+    assert secrets.scan(f"{key}/password=hunter22", RANKS)[1] == [("token", 0, 20), ("assign", 21, 38)]
+    files = "config/settings/database/connection/550e8400-e29b-41d4-a716-446655440000"
+    assert secrets.scan(files, RANKS)[1] == []
+
+
 # --- top-k
 
 
