@@ -43,6 +43,8 @@ HINT = {
     "subscribe", "signup", "login", "search", "form", "widget", "widgets", "pagination", "pager", "skip", "toolbar", "copyright", "legal", "disclaimer",
 }
 MARKED = ("article", "main")
+#: The end of an element whose content is no markup; names are ASCII, whatever the page holds.
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 #: Weights where the labelled pages say nothing, and bounds.
 WORD, OUTSIDE, TAG, BLOCK_TAG, LEAST_TAG, MOST = 1.0, -0.3, -0.2, -0.5, -0.01, 4.0
@@ -65,7 +67,7 @@ def tokens(page: str) -> list[Token]:
     names the article-like element that stands around it, or nothing."""
     out: list[Token] = []
     stack: list[tuple[str, bool, str]] = [("", True, "")]
-    at, low = 0, ""
+    at = 0
     while m := TOKEN.match(page, at):
         at = m.end()
         whole = m[0]
@@ -89,9 +91,8 @@ def tokens(page: str) -> list[Token]:
         live = (outer[1] or marks) and name not in DEAD and not hinted(m[3])
         out.append((name, "", name in BLOCK or name == "br", live, outer[2]))
         if name in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{name}", at) if len(low) == len(page) else -1
-            close = page.find(">", end) if end >= 0 else -1
+            end = RAW_END[name].search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif name not in VOID and not m[3].endswith("/"):
             stack.append((name, live, f"{name} {len(out)}" if marks and live else outer[2]))

@@ -411,6 +411,12 @@ def test_pages(spark):
     assert html_extract.extract(df.limit(0), html_extract.train(df.limit(0))).count() == 0
 
 
+def test_pages_dotted_i():
+    page = PAGE.replace("Be.", "Be. \u0130stanbul").replace("</script>", "</SCRIPT\n>")
+    assert html_extract.main_text(page, {}) == "The & title\nFirst line\nSecond line!\nBe. \u0130stanbul"
+    assert html_extract.main_text("<title>\u0130</tItle><p>some words</p><style>x", {}) == "some words"
+
+
 def test_best_region():
     r = random.Random(9)
     for _ in range(200):
