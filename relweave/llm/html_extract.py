@@ -7,7 +7,9 @@ negative. One linear scan finds the contiguous region with the best sum; where m
 article it is extended to the whole of that. Its live blocks are the text.
 
 Edge cases: a null or empty page, or one without words, gives an empty text; unclosed elements end where an outer
-one ends; a broken tag counts as text; repeated pages give a row each; other columns are ignored.
+one ends; a broken tag counts as text; repeated pages give a row each; other columns are ignored. A class such as
+"has-sidebar" on a page's frame says nothing of its content: html, body, main and an outermost article heed no hints,
+nor does an element that holds most of the page's words, unless an article stands outside it.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import html
 import math
 import re
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +46,7 @@ HINT = {
     "subscribe", "signup", "login", "search", "form", "widget", "widgets", "pagination", "pager", "skip", "toolbar", "copyright", "legal", "disclaimer",
 }
 MARKED = ("article", "main")
+FRAME = {"html", "body", "main"}
 #: The end of an element whose content is no markup; names are ASCII, whatever the page holds.
 RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
@@ -60,20 +64,35 @@ def hinted(attributes: str) -> bool:
 Token = tuple[str, str, bool, bool, str]
 
 
-def tokens(page: str) -> list[Token]:
+def mostly_words(out: list[Token], killed: dict[int, int]) -> frozenset[int]:
+    """Those of the killed elements, given by first token and end, with most of the words and no article outside."""
+    words = list(accumulate((len(t[1].split()) for t in out), initial=0))
+    marked = [i for i, t in enumerate(out) if t[4]]
+    return frozenset(a for a, b in killed.items() if 2 * (words[b] - words[a]) > words[-1] and not (marked and (marked[0] < a or marked[-1] >= b)))
+
+
+def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[Token]:
     """(feature, text, starts a block, live, mark) in page order.
 
     A tag's feature is its name, a text's is "w:" and the element it stands in; the text is empty for tags. mark
-    names the article-like element that stands around it, or nothing."""
+    names the article-like element that stands around it, or nothing. A page where a hint kills an element with most
+    of the words is read again; spared are the first tokens of such elements."""
     out: list[Token] = []
-    stack: list[tuple[str, bool, str]] = [("", True, "")]
+    # name, live, mark, whether a hint kills it or what is around it, and its first token if its own hint does
+    stack: list[tuple[str, bool, str, bool, int]] = [("", True, "", False, -1)]
+    killed: dict[int, int] = {}
+
+    def leave(i: int) -> None:
+        killed.update((e[4], len(out)) for e in stack[i:] if e[4] >= 0)
+        del stack[i:]
+
     at = 0
     while m := TOKEN.match(page, at):
         at = m.end()
         whole = m[0]
         if m[2] is None:
             if whole[0] != "<" or whole == "<":
-                name, live, mark = stack[-1]
+                name, live, mark = stack[-1][:3]
                 out.append((f"w:{name}", html.unescape(whole), False, live, mark))
             continue
         name, closing = m[2].lower(), bool(m[1])
@@ -81,22 +100,26 @@ def tokens(page: str) -> list[Token]:
             out.append((f"/{name}", "", name in BLOCK, False, stack[-1][2]))
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    leave(i)
                     break
             continue
         if name == "p" and stack[-1][0] == "p":
-            stack.pop()
+            leave(len(stack) - 1)
         outer = stack[-1]
         marks = name in MARKED
-        live = (outer[1] or marks) and name not in DEAD and not hinted(m[3])
+        heeds = name not in FRAME and (name != "article" or outer[2] or outer[3])
+        kills = bool(heeds) and len(out) not in spared and hinted(m[3])
+        live = (outer[1] or marks) and name not in DEAD and not kills
         out.append((name, "", name in BLOCK or name == "br", live, outer[2]))
         if name in RAW:
             end = RAW_END[name].search(page, at)
             close = page.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else len(page)
         elif name not in VOID and not m[3].endswith("/"):
-            stack.append((name, live, f"{name} {len(out)}" if marks and live else outer[2]))
-    return out
+            stack.append((name, live, f"{name} {len(out)}" if marks and live else outer[2], outer[3] or kills, len(out) - 1 if kills else -1))
+    leave(1)
+    more = mostly_words(out, killed) if killed else None
+    return tokens(page, spared | more) if more else out
 
 
 def count(page: str | None) -> Counter | None:

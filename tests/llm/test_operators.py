@@ -417,6 +417,23 @@ def test_pages_dotted_i():
     assert html_extract.main_text("<title>\u0130</tItle><p>some words</p><style>x", {}) == "some words"
 
 
+def test_pages_frame_hints():
+    text = lambda page: html_extract.main_text(page, {})
+    whole, plain = text(PAGE), text(PLAIN)
+    assert whole and plain
+    for name in ("has-sidebar", "no-sidebar", "header-fixed"):
+        assert text(PAGE.replace("<body>", f"<body class='{name}'>")) == whole
+        assert text(PAGE.replace("<article>", f"<article class='post {name} no-comments'>")) == whole
+        assert text(PAGE.replace("<article>", f"<main class='{name}'>").replace("</article>", "</main>")) == whole
+        for inner in (f"<div id='page' class='{name}'>", f"<div class='{name}'><div class='{name} wide'>"):
+            assert text(PLAIN.replace("<html>", f"<html class='{name}'>").replace("<body>", f"<body>{inner}")) == plain
+    # comments, even if they are most of the page, or articles of their own
+    long = "I disagree with it all. " * 30
+    assert text(PAGE.replace("I disagree", long)) == whole
+    assert text(f"<body><article><p>A short article stands here.</p></article><div class='comments'><article class='comment'><p>{long}</p></article></div></body>") == "A short article stands here."
+    assert text("<body><article><p>A short article stands here.</p><article class='comment'><p>No.</p></article></article></body>") == "A short article stands here."
+
+
 def test_best_region():
     r = random.Random(9)
     for _ in range(200):
