@@ -217,6 +217,15 @@ def seed_order(spark, sf):
     return S.seed_order(eligible, S.bridges(p, eligible), SEED).limit(100)
 
 
+@query(f"""WITH {BRIDGES}, c AS (SELECT entity, count(*) k FROM bridges GROUP BY entity)
+SELECT entity, coalesce(k, 0) n_links, row_number() OVER (ORDER BY coalesce(k, 0) DESC, md5_number(concat({SEED}, ':', entity)), entity) place FROM eligible LEFT JOIN c USING (entity)""")
+def seed_order_all(spark, sf):
+    p = pool(spark, sf)
+    eligible = S.eligible_entities(p, LEAST)
+    order = S.seed_order(eligible, S.bridges(p, eligible), SEED)
+    return order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF("entity long, n_links long, place long")
+
+
 @query(None)
 def connected_selection(spark, sf):
     p = pool(spark, sf)
@@ -367,6 +376,11 @@ def condensed_ranking(spark, sf):
     return M.condensed(ranking(spark, sf), qrels(spark, sf)).where("rank <= 20").select("cond", "cand", "rank")
 
 
+@query(SQL["condensed_ranking"].removesuffix(" WHERE rank <= 20"))
+def condensed_ranking_all(spark, sf):
+    return M.condensed(ranking(spark, sf), qrels(spark, sf)).select("cond", "cand", "rank")
+
+
 @query(f"""WITH {RANKED}, keys AS (SELECT doc_id cand, source AS key FROM documents), sq AS (SELECT cond, key, max(grade) grade FROM q JOIN keys USING (cand) GROUP BY cond, key),
 f AS (SELECT cond, key, rank FROM r JOIN keys USING (cand) QUALIFY row_number() OVER (PARTITION BY cond, key ORDER BY rank) = 1),
 n AS (SELECT cond, sum((grade >= 3)::INT) n FROM sq GROUP BY cond), ks(k) AS (VALUES (1), (3), (5), (10))

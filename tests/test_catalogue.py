@@ -40,3 +40,15 @@ def test_same_rows(spark, duck, name):
     assert len(got) == len(expected)
     for g, e in zip(got, expected, strict=True):
         assert all(a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) < 2e-6 for a, b in zip(g, e, strict=True)), (g, e)
+
+
+@pytest.mark.parametrize("name", ["seed_order", "condensed_ranking"])
+def test_no_row_is_left_out(spark, duck, name):
+    from relweave.operators import sampling
+    from relweave.plans import catalogue
+
+    if name == "seed_order":
+        every = sampling.eligible_entities(catalogue.pool(spark, SF), catalogue.LEAST).count()
+    else:
+        every = catalogue.ranking(spark, SF).join(catalogue.qrels(spark, SF).select("cond", "cand"), ["cond", "cand"], "left_semi").count()
+    assert every and QUERIES[f"{name}_all"](spark, SF).count() == every == duck.execute(f"SELECT count(*) FROM ({SQL[f'{name}_all']})").fetchone()[0]
