@@ -324,24 +324,60 @@ def shared_passage(n, seed=6):
     return [" ".join([*(word() for _ in range(r.randrange(60))), passage, *(word() for _ in range(r.randrange(60)))]) for _ in range(n)]
 
 
+def passages_brute(texts, words):
+    """(runs of words that occur elsewhere as part of a run of so many words, their words) of each text."""
+    lists = [(t or "").split() for t in texts]
+    n = collections.Counter(tuple(w[i : i + words]) for w in lists for i in range(len(w) - words + 1))
+    out = []
+    for w in lists:
+        gone = [False] * len(w)
+        for i in range(len(w) - words + 1):
+            if n[tuple(w[i : i + words])] > 1:
+                gone[i : i + words] = [True] * words
+        out.append((sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), sum(gone), gone))
+    return out
+
+
 @pytest.mark.parametrize(("hot", "batch"), [(2000, 1 << 22), (5, 2000), (2000, 1500)])
 def test_suffix(spark, monkeypatch, hot, batch):
-    texts = [*shared_passage(60), *ODD[:7], "ab" * 400, "x" * 300, *shared_passage(3, 7), "é" * 200]
+    texts = [*shared_passage(60), *ODD[:7], "ab" * 400, "x" * 300, *shared_passage(3, 7), "é" * 200, *(" ".join(t.split()[20:45]) for t in shared_passage(9, 8))]
     original = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs, window: original(docs, window, 24, batch, hot))
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(clashing(frame(spark, texts)), 60).collect()}
-    assert [got[i] for i in range(len(texts))] == repeats_brute(texts, 60)
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda docs, layers: original(docs, [x._replace(kgram=k) for x, k in zip(layers, (24, 3), strict=True)], batch, hot))
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(clashing(frame(spark, texts)), 60, 12).collect()}
+    want = [(*a, *b[:2]) for a, b in zip(repeats_brute(texts, 60), passages_brute(texts, 12), strict=True)]
+    assert [got[i] for i in range(len(texts))] == want and any(w[1] == 0 < w[5] for w in want) | any(w[4] for w in want)
 
 
 def test_suffix_whole(spark):
     texts = base_text()[:100]
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digests(frame(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == repeats_brute(texts, 400)
+    assert [got[i] for i in range(len(texts))] == [(*a, *b[:2]) for a, b in zip(repeats_brute(texts, 400), passages_brute(texts, 51), strict=True)]
     both = frame(spark, ["ab" * 300, "ab" * 300, "é" * 300], [None, 7, 8])
     assert {r["n_removed"] for r in suffix_dedup.digests(both).collect()} == {600}
     assert suffix_dedup.digests(both.limit(0)).count() == 0
-    cut = {r["doc_id"]: r for r in suffix_dedup.without_repeats(frame(spark, ["x" + "é" * 200 + "y", "zz" + "é" * 200, "own"])).collect()}
-    assert cut[0]["text"] == "xy" and cut[0]["n_chars"] == 2 and cut[1]["text"] == "zz" and cut[2]["text"] == "own"
+    cut = {r["doc_id"]: r for r in suffix_dedup.without_repeats(frame(spark, ["x" + "é" * 200 + "y", "zz" + "é" * 200, "own", None])).collect()}
+    assert cut[0]["text"] == "xy" and cut[0]["n_chars"] == 2 and cut[1]["text"] == "zz" and cut[2]["text"] == "own" and cut[3]["text"] is None
+
+
+def test_suffix_pieces(spark, monkeypatch):
+    """Texts that are taken in pieces, with repeats across the ends of those."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 100)
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = letters(150)
+    texts = [letters(n) + passage + letters(50) for n in (0, 20, 55, 99, 130, 333)] + ["z" * 500, passage[:61], ""]
+    found = []
+    raws = [t.encode() for t in texts]
+    for data, parts in suffix_dedup.pieces_of(raws, 1, 60):
+        first, last, _ = suffix_dedup.segments(np.frombuffer(data, np.uint8), 60, 24, [*(start for _, start, _ in parts[1:]), len(data)])
+        for f, e in zip(first.tolist(), last.tolist(), strict=True):
+            number, start, offset = [p for p in parts if p[1] <= f][-1]
+            found += [(number, i - start + offset) for i in range(f, e + 1)]
+            assert data[f : e + 60] == raws[number][f - start + offset : e - start + offset + 60]
+    assert sorted(found) == sorted((k, i) for k, t in enumerate(raws) for i in range(len(t) - 59))
+    long = letters(1_200_000) + passage * 3 + letters(1_000)
+    got = {x["doc_id"]: tuple(x)[1:4] for x in suffix_dedup.digests(frame(spark, [long, passage * 3, letters(500)])).collect()}
+    assert got[0][1:] == got[1][1:] == (450, 1) and got[2][1:] == (0, 0)
 
 
 def test_prefix_ranks():
