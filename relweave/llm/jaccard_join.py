@@ -200,6 +200,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     other representatives with a similarity of at least threshold; class_id is the smallest doc_id that links lead to.
     """
     found = materialize(features(docs), "shingles")
+    out = classified(docs, found, threshold)
+    none = F.lit(None).cast("long")
+    lost = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return out.union(lost)
+
+
+def classified(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """near_duplicates of the rows with a doc_id; found is a table of their features."""
     classes = found.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     # a row holds BANDS numbers, so fewer rows a task
     classes = materialize(classes, "classes", found.count(), rows=10_000)
@@ -208,17 +216,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = connected_components(got.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
     known = classes.select("key", "rep", "n_copies").join(n_links, "rep", "left").join(parts, "rep", "left")
     known = known.select("key", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = found.select("doc_id", "key").join(known, "key").drop("key")
-    none = F.lit(None).cast("long")
-    lost = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return out.select("doc_id", "class_id", "rep_id", "n_copies", "n_links").union(lost)
+    out = found.select("doc_id", "key").join(known, "key")
+    return out.select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """documents without those that have a near duplicate of smaller doc_id in their class."""
-    keep = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
+    """documents without those that have a near duplicate of smaller doc_id in their class.
+
+    Rows that share a doc_id but not a shingle set cannot be told apart by class, so they are all kept, each text once;
+    repeated rows are one; rows without a doc_id are kept."""
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    return docs.select(*cols).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*cols).union(docs.where("doc_id is null").select(*cols))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cols[1:])
+    found = materialize(features(docs), "shingles")
+    clash = found.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
+    keep = classified(docs, found).where("doc_id = class_id").select("doc_id").union(clash).distinct()
+    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return kept.select(*cols).union(docs.where("doc_id is null").select(*cols))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
