@@ -38,8 +38,23 @@ def log_probability(p: Column) -> Column:
 
 
 def relevance_log_odds(logits: Column) -> Column:
-    """One logit is itself; of two, the second less the first; anything else is null."""
-    return F.when(F.size(logits) == 1, F.element_at(logits, 1)).when(F.size(logits) == 2, F.element_at(logits, 2) - F.element_at(logits, 1))
+    """One logit is itself; of two, the second less the first; any other number is an error."""
+    wrong = F.raise_error(F.concat(F.lit("one or two logits, not "), F.size(logits).cast("string"))).cast("double")
+    return F.when(F.size(logits) == 1, F.element_at(logits, 1)).when(F.size(logits) == 2, F.element_at(logits, 2) - F.element_at(logits, 1)).otherwise(wrong)
+
+
+def seed_number(seed: int, key: Column) -> Column:
+    """The first 8 bytes of the SHA-256 of seed:key as a whole number, in text."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256), 1, 16), 16, 10)
+
+
+def coerced(value: Column, kind: str, default: object = None) -> Column:
+    """A value of another type, or the default where it is null or is none of that type."""
+    return F.coalesce(value.try_cast(kind), F.lit(default).cast(kind))
+
+
+def iso_time(value: Column) -> Column:
+    return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def signal_id(kind: Column, root: Column, path: Column, table: Column, column: Column) -> Column:
@@ -47,6 +62,11 @@ def signal_id(kind: Column, root: Column, path: Column, table: Column, column: C
     return F.concat(kind, F.lit(":"), root, F.lit(":"), F.concat_ws(">", path), F.coalesce(F.concat(F.lit(":"), table, F.lit("."), column), F.lit("")))
 
 
+def signal_key(kind: str, path: str, table: str, column: str) -> Column:
+    """kind:a>b[:table.column] of these columns, without the root."""
+    return F.concat(F.col(kind), F.lit(":"), F.concat_ws(">", F.col(path)), F.coalesce(F.concat(F.lit(":"), F.col(table), F.lit("."), F.col(column)), F.lit("")))
+
+
 def provenance(kind: Column, path: Column, table: Column, column: Column) -> Column:
     """What a signal rests on, whatever its path: table and column, or the sorted set of edges without direction."""
     steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size(path) - 1, F.lit(1))), lambda i: F.concat_ws("~", F.array_sort(F.slice(path, i, 2))))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relweave.functions.scalars import signal_id
+from relweave.functions.scalars import provenance, signal_id
 from relweave.operators.graph import describe_path, edges, paths
 from relweave.sources.dataset import RelationalDataset
 from relweave.sources.manifest import Manifest
@@ -47,6 +47,11 @@ def describe(manifest: Manifest, kind: str, path: list[str], table: str | None =
     return f"Attribute {table}.{column}; path: {where}." if kind == "attribute" else f"Relationship path: {where}."
 
 
+def provenance_of() -> Column:
+    """What a candidate of a frame of candidates rests on."""
+    return provenance(F.col("kind"), F.col("path"), F.col("attribute_table"), F.col("attribute_column"))
+
+
 def fingerprint(candidates: DataFrame) -> DataFrame:
     """SHA-256 of the sorted ids, one a line. Ids are few: one for each column that a schema can reach."""
     return candidates.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("candidate_id")), "\n"), 256).alias("fingerprint"), F.count("*").alias("n"))

@@ -75,7 +75,7 @@ def judge(tasks: DataFrame, respond: Callable[[list[str]], list[str]], path: str
     return out
 
 
-def evaluate_results(results: DataFrame, judgments: DataFrame, allow_incomplete: bool = False, cutoffs: tuple[int, ...] = M.CUTOFFS) -> DataFrame:
+def evaluate_results(results: DataFrame, judgments: DataFrame, allow_incomplete: bool = False, cutoffs: tuple[int, ...] = M.CUTOFFS, least: int = 2) -> DataFrame:
     """(cond, k, coverage, ndcg, recall, precision, mrr) of results (cond, signals: ranked candidates).
 
     Conditions without a graded judgment are left out. Those that are judged in part are an error, unless that is
@@ -89,7 +89,7 @@ def evaluate_results(results: DataFrame, judgments: DataFrame, allow_incomplete:
     if allow_incomplete:
         ranking = M.condensed(ranking, qrels)
     out = M.ndcg(ranking, qrels, cutoffs).join(covered.select("cond", "coverage"), "cond")
-    for metric in (M.recall(ranking, qrels, cutoffs, 2), M.precision(ranking, qrels, cutoffs, 2)):
+    for metric in (M.recall(ranking, qrels, cutoffs, least), M.precision(ranking, qrels, cutoffs, least)):
         out = out.join(metric, ["cond", "k"], "left")
     return out.join(M.mrr(ranking, qrels), "cond", "left").na.fill(0.0, ["recall", "precision", "mrr"]).select("cond", "k", "coverage", "ndcg", "recall", "precision", "mrr")
 
@@ -110,8 +110,8 @@ def root_rates(chosen: DataFrame) -> DataFrame:
 
 
 def condition_overview(weights: DataFrame, methods: list[str]) -> DataFrame:
-    """The best candidate of each method, a column each, by condition; ties go to the smallest candidate."""
-    best = weights.groupBy("cond", "method").agg(F.min_by("cand", F.struct(-F.col("w"), F.col("cand"))).alias("cand"))
+    """The best candidate of each method, a column each, by condition; of equal weights the largest candidate."""
+    best = weights.groupBy("cond", "method").agg(F.max_by("cand", F.struct("w", "cand")).alias("cand"))
     return best.groupBy("cond").pivot("method", methods).agg(F.first("cand"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from relweave.functions.scalars import signal_key
+
 DONE = ("judged", "unable_to_judge")
 
 
@@ -44,15 +46,25 @@ def load_conditions(spark: SparkSession, path: str, unique: bool = True, blank:
 
 
 def read_result_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """JSON lines of the files that exist, united by column name, with the file's stem as model."""
+    """JSON lines of the files that exist, united by column name, with the file's stem as model; no rows if none does."""
     there = [p for p in paths if Path(p).exists()]
     out = None
     for p in there:
         df = spark.read.json(p).withColumn("model", F.lit(Path(p).stem))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
-        raise ValueError("none of the files exists")
-    return out
+    return spark.createDataFrame([], "condition_id string, model string") if out is None else out
+
+
+def load_existing(spark: SparkSession, path: str, key: str = "cache_key") -> DataFrame:
+    """Earlier judgments of a JSONL file, the last of each key; a row without a key is an error, a missing file has none."""
+    rows = read_lines(path)
+    for n, row in enumerate(rows, 1):
+        if not isinstance(row.get(key), str) or not row[key]:
+            raise ValueError(f"{path}:{n}: no {key}")
+    kept = {row[key]: row for row in rows}
+    layout = f"{key} string, condition_id string, candidate_id string, status string, grade int, reason string"
+    names = [c.split()[0] for c in layout.split(", ")]
+    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in kept.values()], layout)
 
 
 def latest(df: DataFrame, key: list[str], position: str) -> DataFrame:
@@ -120,5 +132,5 @@ def throughput(pairs: int, tokens: int, seconds: float) -> dict[str, float]:
 
 def materialize_tasks(specs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(id, candidate_id, grade): each task's grades (a map from signal key to grade) over all candidates, 0 where absent."""
-    key = F.concat("kind", F.lit(":"), F.concat_ws(">", "path"), F.coalesce(F.concat(F.lit(":"), "attribute_table", F.lit("."), "attribute_column"), F.lit("")))
+    key = signal_key("kind", "path", "attribute_table", "attribute_column")
     return specs.crossJoin(candidates.select("candidate_id", key.alias("signal_key"))).select("id", "candidate_id", F.coalesce(F.try_element_at("grades", F.col("signal_key")), F.lit(0)).alias("grade"))

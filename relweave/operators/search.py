@@ -97,7 +97,7 @@ END_BRANCH, END_SEARCH = "Stop this path and go on with others.", "Finish the se
 class Navigator:
     """Best-first search in which a decider picks among legal actions; bounded by decisions and signals.
 
-    One search is a sequence of decisions and runs where it is called; many conditions run in parallel tasks."""
+    One search is a sequence of decisions and runs where it is called; `search_all` runs many conditions in parallel."""
 
     decide: Decide
     max_hops: int = 2
@@ -108,7 +108,7 @@ class Navigator:
 
     def run(self, intent: str, signals: list[Signal], manifest: Manifest, root: str | None = None) -> Found:
         tables = list(manifest.tables)
-        self._check(signals, tables, root)
+        self._check(signals, tables, root, any(True for _ in manifest.foreign_keys()))
         by_place: dict[tuple, list[Signal]] = {}
         for s in signals:
             by_place.setdefault((s.kind, s.path), []).append(s)
@@ -194,13 +194,15 @@ class Navigator:
             out += [Action("traverse", f"Traverse: {describe_path(manifest, [here, t])}", t) for t in near if t not in branch.path]
         return [*out, Action("stop_branch", END_BRANCH), Action("stop_search", END_SEARCH)]
 
-    def _check(self, signals: list[Signal], tables: list[str], root: str | None) -> None:
+    def _check(self, signals: list[Signal], tables: list[str], root: str | None, linked: bool) -> None:
         if root is not None and root not in tables:
             raise ValueError(f"unknown start table {root!r}")
         if root is not None and self.max_decisions < 2:
             raise ValueError("a given start table needs two decisions")
         if missing := set(tables) - {s.root for s in signals if s.kind == "attribute" and len(s.path) == 1}:
             raise ValueError(f"no attribute of {', '.join(sorted(missing))} is a candidate")
+        if self.relationships and self.max_hops > 0 and linked and not any(s.kind == "relationship" for s in signals):
+            raise ValueError("relationships are wanted, and none is a candidate")
 
     def _state(self, intent: str, manifest: Manifest, branch: Branch | None, known: list[Signal]) -> str:
         return "\n".join([f"Intent: {intent}", f"Tables: {', '.join(manifest.tables)}", f"Path: {'>'.join(branch.path) if branch else '-'}", f"History: {' | '.join(branch.history) if branch else '-'}", f"Found: {', '.join(s.id for s in known) or '-'}", f"Signals left: {self.max_signals - len(known)}"])
@@ -210,6 +212,31 @@ def _log(p: float) -> float:
     return math.log(max(p, 1e-12))
 
 
+ACTION = "array<struct<kind: string, option: string, p: double>>"
+SEARCH = f"task string, calls int, stop_reason string, signals array<string>, trace array<struct<decision: int, branch: int, parent: int, path: array<string>, history: array<string>, choice: string, legal: {ACTION}, expanded: {ACTION}>>"
+
+
+def signals_of(candidates: DataFrame) -> list[Signal]:
+    """Candidates of a schema in the order of their enumeration; there are few, one for each column that can be reached."""
+    rows = candidates.orderBy("root", "turns", "place").collect()
+    return [Signal(r["candidate_id"], r["kind"], r["root"], tuple(r["path"]), r["attribute_table"], r["attribute_column"]) for r in rows]
+
+
+def search_all(conditions: DataFrame, signals: list[Signal], manifest: Manifest, navigator: Navigator) -> DataFrame:
+    """A search for each row of conditions (task, intent, and root if start tables are given), side by side in tasks."""
+    given = "root" in conditions.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                got = navigator.run(r.intent, signals, manifest, r.root if given else None)
+                rows.append((str(r.task), got.calls, got.stop_reason, [s.id for s in got.signals], got.trace))
+            yield pd.DataFrame(rows, columns=["task", "calls", "stop_reason", "signals", "trace"])
+
+    return conditions.select("task", "intent", *["root"] * given).mapInPandas(run, SEARCH)
+
+
 def trace_actions(traces: DataFrame) -> DataFrame:
     """(kind, n_legal, n_expanded) over exploded traces (trace array<struct<legal, expanded>>)."""
     step = traces.select(F.explode("trace").alias("t"))

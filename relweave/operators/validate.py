@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relweave.functions.scalars import jaccard
@@ -45,21 +46,42 @@ def bridging_links(links: DataFrame) -> DataFrame:
     return links.groupBy("link").agg(F.count("*").alias("n_entities")).where("n_entities >= 2")
 
 
-def overlap_pairs(links: DataFrame) -> DataFrame:
-    """(left_entity, right_entity, shared). Links of a single entity are dropped before the self join."""
-    useful = links.join(bridging_links(links).select("link"), "link", "left_semi")
-    a = useful.select("link", F.col("entity").alias("left_entity"))
-    b = useful.select("link", F.col("entity").alias("right_entity"))
-    return a.join(b, "link").where("left_entity < right_entity").groupBy("left_entity", "right_entity").agg(F.count("*").alias("shared"))
+def overlap_pairs(links: DataFrame, block: int = 1024) -> DataFrame:
+    """(left_entity, right_entity, shared). Links of a single entity are dropped before the self join.
+
+    The entities of a link are dealt into blocks by hash, about block in each, and a join task meets two blocks of a
+    link; so a link that most entities have is spread over many tasks. Pairs are counted in part before the shuffle."""
+    useful = links.join(bridging_links(links), "link")
+    blocks = F.ceil(F.col("n_entities") / block).cast("int")
+    own = useful.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = own.select("link", F.col("entity").alias("left_entity"), F.col("own").alias("x"), every.alias("y"))
+    b = own.select("link", F.col("entity").alias("right_entity"), F.col("own").alias("y"), every.alias("x"))
+    return a.join(b, ["link", "x", "y"]).where("left_entity < right_entity").groupBy("left_entity", "right_entity").agg(F.count("*").alias("shared"))
+
+
+def median_of_counts(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """One row, the median of values that occur n times each; null without any. Different values are sorted, not rows."""
+    total = counts.agg(F.sum("n").alias("total"))
+    upto = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.withColumn("upto", upto).crossJoin(total)
+    middle = lambda at: F.min(F.when(F.col("upto") >= at, F.col(value)))
+    return placed.agg(((middle(F.floor((F.col("total") + 1) / 2)) + middle(F.floor(F.col("total") / 2) + 1)) / 2).alias(name))
 
 
 def overlap_summary(fact: DataFrame, entity: str, link: str) -> DataFrame:
-    """One row: entities, connected ones, pairs, bridging links, shared links of a pair, median Jaccard, share of pairs."""
+    """One row: entities, connected ones, pairs, bridging links, shared links of a pair, median Jaccard, share of pairs.
+
+    Pairs are reduced to how often each (shared, Jaccard) occurs; of those there are few."""
     links = entity_links(fact, entity, link)
     pairs, sizes = overlap_pairs(links), links.groupBy("entity").agg(F.count("*").alias("n"))
     left, right = sizes.select(F.col("entity").alias("left_entity"), F.col("n").alias("n_left")), sizes.select(F.col("entity").alias("right_entity"), F.col("n").alias("n_right"))
-    known = pairs.join(left, "left_entity").join(right, "right_entity").withColumn("j", jaccard(F.col("shared"), F.col("n_left"), F.col("n_right")))
-    stats = known.agg(F.count("*").alias("pairs"), F.median("shared").alias("shared_median"), F.avg("shared").alias("shared_avg"), F.max("shared").alias("shared_max"), F.median("j").alias("jaccard_median"))
+    known = pairs.join(left, "left_entity").join(right, "right_entity")
+    kinds = known.groupBy("shared", (F.col("n_left") + F.col("n_right")).alias("both")).agg(F.count("*").alias("n"))
+    kinds = kinds.withColumn("j", jaccard(F.col("shared"), F.col("both"), F.lit(0)))
+    stats = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), (F.sum(F.col("n") * F.col("shared")) / F.sum("n")).alias("shared_avg"), F.max("shared").alias("shared_max"))
+    for value, name in (("shared", "shared_median"), ("j", "jaccard_median")):
+        stats = stats.crossJoin(median_of_counts(kinds.groupBy(value).agg(F.sum("n").alias("n")), value, name))
     connected = pairs.select("left_entity").union(pairs.select("right_entity")).distinct().agg(F.count("*").alias("connected"))
     out = stats.crossJoin(connected).crossJoin(bridging_links(links).agg(F.count("*").alias("bridging"))).crossJoin(fact.agg(F.count_distinct(entity).alias("entities")))
     possible = F.col("entities") * (F.col("entities") - 1) / 2

@@ -99,18 +99,20 @@ def fk_dangling(spark, sf):
     return out
 
 
-@query("""SELECT 'table lineitem exists' AS name, true AS passed, '' AS detail UNION ALL SELECT 'table part exists', true, '' UNION ALL SELECT 'table orders exists', true, ''
-UNION ALL SELECT 'table lineitem is not empty', (SELECT count(*) > 0 FROM lineitem), '' UNION ALL SELECT 'table part is not empty', (SELECT count(*) > 0 FROM part), ''
-UNION ALL SELECT 'table orders is not empty', (SELECT count(*) > 0 FROM orders), ''
-UNION ALL SELECT 'lineitem has at most 1,000 rows', count(*) <= 1000, format('{:,}', count(*)) || ' rows' FROM lineitem
-UNION ALL SELECT 'part.p_partkey is unique', count(p_partkey) = count(DISTINCT p_partkey), '' FROM part
-UNION ALL SELECT 'orders.o_orderkey is unique', count(o_orderkey) = count(DISTINCT o_orderkey), '' FROM orders
-UNION ALL SELECT 'lineitem.l_partkey -> part.p_partkey', count(*) = 0, '' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-UNION ALL SELECT 'lineitem.l_orderkey -> orders.o_orderkey', count(*) = 0, '' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def checks_sql(most: int) -> str:
+    out = [f"SELECT 'table {t} exists' AS name, true AS passed, '' AS detail" for t in STAR.tables]
+    out += [f"SELECT 'table {t} is not empty', (SELECT count(*) > 0 FROM {t}), ''" for t in STAR.tables]
+    out.append(f"SELECT 'lineitem has at most {most:,} rows', count(*) <= {most}, format('{{:,}}', count(*)) || ' rows' FROM lineitem")
+    out += [f"SELECT '{t.name}.{t.primary_key} is unique', count({t.primary_key}) = count(DISTINCT {t.primary_key}), '' FROM {t.name}" for t in STAR.tables.values() if t.primary_key]
+    out += [f"SELECT 'lineitem.{k.column} -> {k.target_table}.{k.target_column}', count(*) = 0, '' FROM lineitem WHERE {k.column} NOT IN (SELECT {k.target_column} FROM {k.target_table})" for _, k in STAR.foreign_keys()]
+    return " UNION ALL ".join(out)
+
+
+@query(checks_sql(1000))
 def subset_checks(spark, sf):
     d = star(spark, sf)
-    tables = {t: d.table(t) for t in ("lineitem", "part", "orders")}
-    return V.checks(tables, "lineitem", {"part": "p_partkey", "orders": "o_orderkey"}, [("l_partkey", "part"), ("l_orderkey", "orders")], 1000)
+    keys = {t.name: t.primary_key for t in STAR.tables.values() if t.primary_key}
+    return V.checks({t: d.table(t) for t in d.table_names()}, "lineitem", keys, [(k.column, k.target_table) for _, k in STAR.foreign_keys()], 1000)
 
 
 @query("SELECT min(l_shipdate) t_min, max(l_shipdate) t_max FROM lineitem")
@@ -209,31 +211,31 @@ def bridges(spark, sf):
     return S.bridges(p, S.eligible_entities(p, LEAST))
 
 
-@query(f"""WITH {BRIDGES}, c AS (SELECT entity, count(*) k FROM bridges GROUP BY entity)
-SELECT entity, coalesce(k, 0) n_links FROM eligible LEFT JOIN c USING (entity) ORDER BY n_links DESC, md5_number(concat({SEED}, ':', entity)), entity LIMIT 100""")
-def seed_order(spark, sf):
-    p = pool(spark, sf)
-    eligible = S.eligible_entities(p, LEAST)
-    return S.seed_order(eligible, S.bridges(p, eligible), SEED).limit(100)
-
-
 @query(f"""WITH {BRIDGES}, c AS (SELECT entity, count(*) k FROM bridges GROUP BY entity)
 SELECT entity, coalesce(k, 0) n_links, row_number() OVER (ORDER BY coalesce(k, 0) DESC, md5_number(concat({SEED}, ':', entity)), entity) place FROM eligible LEFT JOIN c USING (entity)""")
-def seed_order_all(spark, sf):
+def seed_order(spark, sf):
     p = pool(spark, sf)
     eligible = S.eligible_entities(p, LEAST)
     order = S.seed_order(eligible, S.bridges(p, eligible), SEED)
     return order.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)).toDF("entity long, n_links long, place long")
 
 
-@query(None)
+def greedy_sql(limit: int) -> str:
+    """A step for each pick: most links that picked entities have, then the place in seed order."""
+    steps = [f"""place AS MATERIALIZED (SELECT entity, row_number() OVER (ORDER BY coalesce(k, 0) DESC, md5_number(concat({SEED}, ':', entity)), entity) place
+ FROM eligible LEFT JOIN (SELECT entity, count(*) k FROM bridges GROUP BY entity) USING (entity)), s0 AS MATERIALIZED (SELECT 0 AS position, entity FROM place WHERE place = 1)"""]
+    for i in range(1, limit):
+        steps.append(f"""s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL (SELECT {i}, entity FROM place LEFT JOIN (SELECT entity, count(*) n FROM bridges
+ WHERE link IN (SELECT link FROM bridges WHERE entity IN (SELECT entity FROM s{i - 1})) GROUP BY entity) USING (entity) WHERE entity NOT IN (SELECT entity FROM s{i - 1}) ORDER BY coalesce(n, 0) DESC, place LIMIT 1))""")
+    return ", ".join(steps)
+
+
+@query(f"WITH {BRIDGES.replace('bridges AS (', 'bridges AS MATERIALIZED (')}, {greedy_sql(LIMIT)} SELECT position, entity FROM s{LIMIT - 1}")
 def connected_selection(spark, sf):
     p = pool(spark, sf)
     eligible = S.eligible_entities(p, LEAST)
     joint = S.bridges(p, eligible)
-    order = [r["entity"] for r in S.seed_order(eligible, joint, SEED).collect()]
-    picked = S.connected_selection(order, [(r["entity"], r["link"]) for r in joint.collect()], LIMIT)
-    return spark.createDataFrame(list(enumerate(picked)), "position int, entity long")
+    return S.connected_selection(S.seeds(eligible, joint, SEED), joint, LIMIT)
 
 
 @query(f"WITH {CHOSEN} SELECT p_partkey, p_name, p_brand FROM part WHERE p_partkey IN (SELECT entity FROM chosen)")
@@ -370,14 +372,8 @@ def mrr(spark, sf):
     return rounded(M.mrr(ranking(spark, sf), qrels(spark, sf)), "mrr")
 
 
-@query(f"""WITH {RANKED}, c AS (SELECT r.cond, r.cand, row_number() OVER (PARTITION BY r.cond ORDER BY rank) rank FROM r WHERE EXISTS (SELECT 1 FROM q WHERE q.cond = r.cond AND q.cand = r.cand))
-SELECT cond, cand, rank::INT AS rank FROM c WHERE rank <= 20""")
+@query(f"""WITH {RANKED} SELECT r.cond, r.cand, (row_number() OVER (PARTITION BY r.cond ORDER BY rank))::INT AS rank FROM r WHERE EXISTS (SELECT 1 FROM q WHERE q.cond = r.cond AND q.cand = r.cand)""")
 def condensed_ranking(spark, sf):
-    return M.condensed(ranking(spark, sf), qrels(spark, sf)).where("rank <= 20").select("cond", "cand", "rank")
-
-
-@query(SQL["condensed_ranking"].removesuffix(" WHERE rank <= 20"))
-def condensed_ranking_all(spark, sf):
     return M.condensed(ranking(spark, sf), qrels(spark, sf)).select("cond", "cand", "rank")
 
 
@@ -516,9 +512,9 @@ def full_comparison(spark, sf):
 
 @query(f"""WITH {WEIGHTS}, n AS (SELECT cond, cand, method, greatest(w, 0) / sum(greatest(w, 0)) OVER (PARTITION BY cond, method) p FROM w),
 c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY cond, method ORDER BY p DESC, cand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM n)
-SELECT cond, method, cand, round(p, 6) p FROM c WHERE method = 'A' AND before < 0.5""")
+SELECT cond, method, cand, round(p, 6) p FROM c WHERE before < 0.5 - 1e-9""")
 def top_p_selection(spark, sf):
-    return rounded(A.top_p(weights(spark, sf).where("method = 'A'"), 0.5).select("cond", "method", "cand", "p"), "p")
+    return rounded(A.top_p(weights(spark, sf), 0.5 - 1e-9).select("cond", "method", "cand", "p"), "p")
 
 
 @query(f"WITH {WEIGHTS} SELECT method, count(DISTINCT cand) n_distinct, round(avg(w), 6) mean, round(stddev_samp(w), 6) sd FROM w GROUP BY method")
@@ -568,7 +564,7 @@ def root_rates(spark, sf):
     return rounded(E.root_rates(E.root_selection(tasks)), "accuracy", "hit_rate")
 
 
-@query(f"WITH {RERANK} SELECT cond, min(cand) FILTER (method = 'A') AS a_top, min(cand) FILTER (method = 'B') AS b_top FROM r WHERE rank = 1 GROUP BY cond")
+@query(f"WITH {WEIGHTS}, best AS (SELECT * FROM w QUALIFY w = max(w) OVER (PARTITION BY cond, method)) SELECT cond, max(cand) FILTER (method = 'A') AS a_top, max(cand) FILTER (method = 'B') AS b_top FROM best GROUP BY cond")
 def condition_overview(spark, sf):
     return E.condition_overview(weights(spark, sf), ["A", "B"]).select("cond", F.col("A").alias("a_top"), F.col("B").alias("b_top"))
 

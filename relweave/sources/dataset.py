@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from relweave.sources.manifest import Manifest
+from relweave.sources.rowgroups import evenly_spaced, row_group_sizes
+
+__all__ = ["RelationalDataset", "evenly_spaced", "in_row_groups", "named", "row_group_sizes", "with_position"]
+
+
+def named(column: str) -> Column:
+    """The column of just this name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 class RelationalDataset:
@@ -33,6 +39,14 @@ class RelationalDataset:
             self._tables[name] = self.spark.read.parquet(self.path(name))
         return self._tables[name]
 
+    def exists(self, name: str) -> bool:
+        """Whether the table's file can be read."""
+        try:
+            self.table(name)
+        except AnalysisException:
+            return False
+        return True
+
     def columns(self, name: str) -> list[str]:
         return self.table(name).columns
 
@@ -41,42 +55,24 @@ class RelationalDataset:
         return self.spark.createDataFrame(rows, "table_name string, ordinal int, column_name string")
 
     def rows(self, name: str, column: str, value: object) -> DataFrame:
-        """Rows where column equals value; nulls never match."""
-        df = self.table(name)
-        if column not in df.columns:
-            raise KeyError(f"{name} has no column {column!r}; it has {', '.join(df.columns)}")
-        return df.where(F.col(column) == F.lit(value))
+        """Rows where column equals value; a null is equal to nothing."""
+        known = self.columns(name)
+        if column not in known:
+            raise KeyError(f"{column!r} is no column of {name}: {', '.join(known)}")
+        return self.table(name).where(named(column) == F.lit(value))
 
     def entity(self, name: str, key: object) -> Row:
-        """The one row with this primary key."""
-        df = self.table(name)
-        column = self.manifest.tables[name].primary_key
-        if column is None:
-            raise ValueError(f"{name} has no primary key")
-        found = df.where(F.col(column) == F.lit(key)).limit(2).collect()
-        if not found:
-            raise KeyError(f"{name} has no {column} {key!r}")
-        if len(found) > 1:
-            raise ValueError(f"{name} has several rows with {column} {key!r}")
-        return found[0]
-
-
-def row_group_sizes(path: str) -> list[int]:
-    """Rows of each row group, in order, from the footer of one local file."""
-    files = sorted(Path(path).glob("*.parquet")) if Path(path).is_dir() else [Path(path)]
-    if len(files) != 1:
-        raise ValueError("row groups are counted in a single file")
-    meta = pq.ParquetFile(files[0]).metadata
-    return [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
-
-
-def evenly_spaced(count: int, chosen: int) -> list[int]:
-    """chosen of 0..count-1, evenly spaced with both ends; all if there are no more; the lower middle if one."""
-    if chosen >= count:
-        return list(range(count))
-    if chosen == 1:
-        return [(count - 1) // 2]
-    return [round(i * (count - 1) / (chosen - 1)) for i in range(chosen)]
+        """The row that a primary key stands for; none, or several, are errors."""
+        self.table(name)
+        if (column := self.manifest.tables[name].primary_key) is None:
+            raise ValueError(f"rows of {name} cannot be looked up without a primary key")
+        match self.rows(name, column, key).take(2):
+            case [row]:
+                return row
+            case []:
+                raise KeyError(f"{key!r} is no {column} of {name}")
+            case _:
+                raise ValueError(f"{column} {key!r} of {name} is not unique")
 
 
 def with_position(df: DataFrame, name: str = "position") -> DataFrame:

@@ -6,7 +6,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from relweave.plans.catalogue import QUERIES, SQL
+from relweave.plans import catalogue, more
+
+QUERIES, SQL = catalogue.QUERIES | more.QUERIES, catalogue.SQL | more.SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,10 +47,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", ["seed_order", "condensed_ranking"])
 def test_no_row_is_left_out(spark, duck, name):
     from relweave.operators import sampling
-    from relweave.plans import catalogue
 
     if name == "seed_order":
         every = sampling.eligible_entities(catalogue.pool(spark, SF), catalogue.LEAST).count()
     else:
         every = catalogue.ranking(spark, SF).join(catalogue.qrels(spark, SF).select("cond", "cand"), ["cond", "cand"], "left_semi").count()
-    assert every and QUERIES[f"{name}_all"](spark, SF).count() == every == duck.execute(f"SELECT count(*) FROM ({SQL[f'{name}_all']})").fetchone()[0]
+    assert every and QUERIES[name](spark, SF).count() == every == duck.execute(f"SELECT count(*) FROM ({SQL[name]})").fetchone()[0]

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 
@@ -55,27 +56,60 @@ def test_tasks(spark):
     assert {tuple(r) for r in L.materialize_tasks(specs, cands).collect()} == {("t", "1", 3), ("t", "2", 0)}
 
 
-def test_metrics(spark):
-    rank = spark.createDataFrame([("c", "good", 1), ("c", "unknown", 2), ("c", "bad", 3)], "cond string, cand string, rank int")
-    labels = spark.createDataFrame([("c", "good", 3), ("c", "bad", 0)], "cond string, cand string, grade int")
-    value = lambda df, k, c: df.where(f"k = {k}").first()[c]
-    assert value(M.ndcg(rank, labels), 1, "ndcg") == 1 and value(M.recall(rank, labels), 1, "recall") == 1
-    assert math.isclose(value(M.precision(rank, labels), 3, "precision"), 1 / 3) and M.mrr(rank, labels).first()["mrr"] == 1
-    assert M.condensed(rank, labels).where("cand = 'bad'").first()["rank"] == 2
-    short = spark.createDataFrame([("c", "s0", 1)], "cond string, cand string, rank int")
-    many = spark.createDataFrame([("c", f"s{i}", 3 if i < 2 else 0) for i in range(39)], "cond string, cand string, grade int")
-    assert value(M.recall(short, many), 3, "recall") == 0.5 and value(M.ndcg(short, many), 3, "ndcg") < 1
-    empty = many.withColumn("grade", many.grade * 0)
-    assert value(M.ndcg(short, empty), 5, "ndcg") == 0 and value(M.recall(short, empty), 5, "recall") == 0
-
-
-def test_soft(spark):
-    rank = spark.createDataFrame([("c", "p1", 1), ("c", "p2", 2), ("c", "price", 3)], "cond string, cand string, rank int")
-    labels = spark.createDataFrame([("c", "p1", 0), ("c", "p2", 3), ("c", "price", 3)], "cond string, cand string, grade int")
-    keys = spark.createDataFrame([("p1", "title"), ("p2", "title"), ("price", "price")], "cand string, key string")
-    rows, of_key = M.soft(rank, labels, keys)
-    got = {r["k"]: r["recall"] for r in M.recall(rows, of_key).collect()}
-    assert got[1] == 0.5 and got[3] == 1.0 and {r["k"]: r["recall"] for r in M.recall(rank, labels).collect()}[1] == 0
+def measured(order, grades, k, least_recall=3, least_precision=2):
+    """nDCG, recall, precision at k and the reciprocal rank, by the definitions."""
+    gain = lambda gs: sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(gs[:k]))
+    own, best = [grades.get(c, 0) for c in order], sorted(grades.values(), reverse=True)
+    wanted = sum(g >= least_recall for g in best)
+    return (
+        gain(own) / gain(best) if gain(best) else 0.0, sum(g >= least_recall for g in own[:k]) / wanted if wanted else 0.0,
+        sum(g >= least_precision for g in own[:k]) / len(own[:k]), next((1 / (i + 1) for i, g in enumerate(own) if g >= 3), 0.0),
+    )
+
+
+def rankings(seed):
+    r = random.Random(seed)
+    names = [f"n{i}" for i in range(14)]
+    grades = {c: {n: r.choice([0, 0, 1, 2, 3]) for n in r.sample(names, r.randrange(1, 12))} for c in "uvwx"}
+    grades["x"] = dict.fromkeys(grades["x"], 0)
+    return {c: r.sample(names, r.randrange(1, 14)) for c in "uvwx"}, grades
+
+
+def frames(spark, orders, grades):
+    rank = spark.createDataFrame([(c, n, i + 1) for c, order in orders.items() for i, n in enumerate(order)], "cond string, cand string, rank int")
+    return rank, spark.createDataFrame([(c, n, g) for c, gs in grades.items() for n, g in gs.items()], "cond string, cand string, grade int")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_metrics(spark, seed):
+    orders, grades = rankings(seed)
+    rank, labels = frames(spark, orders, grades)
+    got = [{(r["cond"], r["k"]): r[n] for r in df.collect()} for n, df in (("ndcg", M.ndcg(rank, labels)), ("recall", M.recall(rank, labels)), ("precision", M.precision(rank, labels)))]
+    first = {r["cond"]: r["mrr"] for r in M.mrr(rank, labels).collect()}
+    for c in orders:
+        for k in M.CUTOFFS:
+            assert [*(g[c, k] for g in got), first[c]] == pytest.approx(measured(orders[c], grades[c], k))
+    kept = {(r["cond"], r["cand"]): r["rank"] for r in M.condensed(rank, labels).collect()}
+    assert kept == {(c, n): i + 1 for c, order in orders.items() for i, n in enumerate([n for n in order if n in grades[c]])}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_soft(spark, seed):
+    """A key counts once, where it is first returned, with the best grade of its candidates."""
+    orders, grades = rankings(seed)
+    key = {f"n{i}": f"k{i % 5}" for i in range(14)}
+    rank, labels = frames(spark, orders, grades)
+    rows, of_key = M.soft(rank, labels, spark.createDataFrame(list(key.items()), "cand string, key string"))
+    got = {(r["cond"], r["k"]): r["recall"] for r in M.recall(rows, of_key).collect()}
+    value = {(r["cond"], r["k"]): r["ndcg"] for r in M.ndcg(rows, of_key).collect()}
+    for c, order in orders.items():
+        best = {}
+        for n, g in grades[c].items():
+            best[key[n]] = max(best.get(key[n], 0), g)
+        once = [key[n] if key[n] not in [key[o] for o in order[:i]] else f"again {i}" for i, n in enumerate(order)]
+        for k in M.CUTOFFS:
+            want = measured(once, best, k)
+            assert (value[c, k], got[c, k]) == pytest.approx(want[:2])
 
 
 def test_kappa_and_consensus(spark):
@@ -94,8 +128,8 @@ def test_scalars(spark):
 
     df = spark.createDataFrame([(-800.0,), (0.0,), (800.0,)], "x double").select(X.sigmoid(F.col("x")).alias("s"), X.log_odds(F.col("x")).alias("l"))
     assert [r["s"] for r in df.collect()] == [0.0, 0.5, 1.0]
-    logits = spark.createDataFrame([([-2.0],), ([1.0, 3.0],), ([4.0, 2.0],), ([1.0, 2.0, 3.0],)], "l array<double>")
-    assert [r[0] for r in logits.select(X.relevance_log_odds(F.col("l"))).collect()] == [-2.0, 2.0, -2.0, None]
+    logits = spark.createDataFrame([([-2.0],), ([1.0, 3.0],), ([4.0, 2.0],)], "l array<double>")
+    assert [r[0] for r in logits.select(X.relevance_log_odds(F.col("l"))).collect()] == [-2.0, 2.0, -2.0]
 
 
 M3 = parse_manifest({"name": "m", "tables": {"review": {"fkeys": {"p": "product"}}, "product": {"pkey": "id"}}})
