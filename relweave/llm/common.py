@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,12 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh one where that is unset and all is one process (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and jsc.getCheckpointDir().isDefined():
         found = jsc.getCheckpointDir().get()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="relweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -50,6 +52,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_bound(wanted: float, n: int) -> int:
+    """The signed 64-bit number that wanted of n hashes are below, in expectation; exact at any n."""
+    share = int(wanted) / max(1, n) if wanted < n else 1.0
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
+def hash_below(hashed: Column, wanted: float, n: int) -> Column:
+    """Whether a row of n is among about wanted ones, all if there are no more."""
+    return F.lit(True) if wanted >= n else hashed < F.lit(hash_bound(wanted, n)).cast("long")
+
+
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, so tables are built once a worker and not once a task."""
     holder = sys.modules.setdefault("_relweave_worker", types.ModuleType("_relweave_worker"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm.common import map_arrow, read, worker_cache
+from relweave.llm.common import hash_below, map_arrow, read, worker_cache
 
 #: Hashed features.
 DIM = 1 << 16
@@ -119,12 +119,14 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def sample(train: DataFrame, counts: dict[str, int], size: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """About size labelled rows as (lang, feature numbers, counts), as many of each language, by a hash of doc_id."""
-    share = size / max(1, len(counts))
-    limit = F.lit(0)
+    """About size labelled rows as (lang, feature numbers, counts), as many of each language, by a hash of doc_id.
+
+    Were there twice as many, which chance does not bring about, those of the smallest hashes would be taken."""
+    limit = F.lit(False)
+    order = F.xxhash64("doc_id", F.lit("langid"))
     for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, share / n) * 1_000_000))).otherwise(limit)
-    rows = train.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < limit).select("doc_id", "lang", "text")
+        limit = F.when(F.col("lang") == lang, hash_below(order, size / max(1, len(counts)), n)).otherwise(limit)
+    rows = train.where(limit).select("doc_id", "lang", "text")
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         got = [features(t) for t in cols["text"]]
@@ -133,7 +135,7 @@ def sample(train: DataFrame, counts: dict[str, int], size: int) -> list[tuple[st
             "which": [f and f[0].astype("<u2").tobytes() for f in got], "counts": [f and f[1].astype("<u4").tobytes() for f in got],
         }
 
-    found = map_arrow(rows, run, "doc_id long, lang string, which binary, counts binary").where("which is not null").limit(2 * size).collect()
+    found = map_arrow(rows, run, "doc_id long, lang string, which binary, counts binary").where("which is not null").orderBy(order, "doc_id").limit(2 * size).collect()
     found.sort(key=lambda r: (r["doc_id"] * 2654435761 % (1 << 32), r["doc_id"]))
     return [(r["lang"], np.frombuffer(r["which"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4")) for r in found]
 
