@@ -7,7 +7,7 @@ negative. One linear scan finds the contiguous region with the best sum; where m
 article it is extended to the whole of that. Its live blocks are the text.
 
 Edge cases: a null or empty page, or one without words, gives an empty text; unclosed elements end where an outer
-one ends; a broken tag counts as text; repeated pages give a row each; other columns are ignored. A class such as
+one ends; a tag that the page's end cuts counts as text; repeated pages give a row each; other columns are ignored. A class such as
 "has-sidebar" on a page's frame says nothing of its content: html, body, main and an outermost article heed no hints,
 nor does an element that holds most of the page's words, unless an article stands outside it.
 """
@@ -23,11 +23,15 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relweave.llm.common import map_arrow, read
+from relweave.llm.common import hash_below, map_arrow, read
 
 #: Labelled pages that the weights are counted over, in expectation.
 SAMPLE = 2000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Attributes as a browser takes them: quotes count after an equals sign only, and one that is not closed ends with the tag.
+#: Nothing is taken back once it is read, so that a page is read once.
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|["'][^>]*+|[^\s>"'][^\s>]*+|(?=>)))?+|=)*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>|[^<]++|<", re.S)
+OPENS = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Elements whose content is no markup, that are blocks, that have no end, that hold no article text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
@@ -50,6 +54,8 @@ FRAME = {"html", "body", "main"}
 #: The end of an element whose content is no markup; names are ASCII, whatever the page holds.
 RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
+#: Characters of a name that gets a weight of its own; longer ones are made up, and count as any other.
+LONGEST = 100
 #: Weights where the labelled pages say nothing, and bounds.
 WORD, OUTSIDE, TAG, BLOCK_TAG, LEAST_TAG, MOST = 1.0, -0.3, -0.2, -0.5, -0.01, 4.0
 
@@ -90,8 +96,11 @@ def tokens(page: str, spared: frozenset[int] = frozenset()) -> list[Token]:
     while m := TOKEN.match(page, at):
         at = m.end()
         whole = m[0]
+        if whole == "<" and OPENS.match(page, at - 1):
+            # a tag that is still open where the page ends; all that is left is its text
+            whole, at = page[at - 1 :], len(page)
         if m[2] is None:
-            if whole[0] != "<" or whole == "<":
+            if whole[:2] not in ("<!", "<?"):
                 name, live, mark = stack[-1][:3]
                 out.append((f"w:{name}", html.unescape(whole), False, live, mark))
             continue
@@ -136,15 +145,15 @@ def count(page: str | None) -> Counter | None:
 def train(pages: DataFrame, size: int = SAMPLE) -> dict[str, float]:
     """Weight of each feature, from about size pages chosen by a hash of page_id."""
     n = pages.count()
-    share = int(min(1.0, size / max(1, n)) * 1_000_000)
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         total: Counter = Counter()
         for page in cols["html"]:
             total.update(count(page) or {})
-        return {"feature": [k[0][:100] for k in total], "inside": [k[1] for k in total], "n": list(total.values())}
+        known = [k for k in total if len(k[0]) <= LONGEST]
+        return {"feature": [k[0] for k in known], "inside": [k[1] for k in known], "n": [total[k] for k in known]}
 
-    chosen = pages.where(F.pmod(F.xxhash64("page_id", F.lit("html")), F.lit(1_000_000)) < share).select("html")
+    chosen = pages.where(hash_below(F.xxhash64("page_id", F.lit("html")), size, n)).select("html")
     rows = map_arrow(chosen, run, "feature string, inside boolean, n long").groupBy("feature").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("b")).collect()
     weights = {}
     for feature, a, b in rows:
@@ -165,17 +174,17 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def whole_article(got: list[Token], first: int, last: int) -> tuple[int, int]:
-    """The region, extended to the whole of the article element that holds most of its words, if there is one."""
+def whole_article(got: list[Token], first: int, last: int) -> tuple[int, int, bool]:
+    """The region, extended to the whole of the article element that holds most of its words, and whether there is one."""
     held: Counter = Counter()
     for feature, text, _, live, mark in got[first:last]:
         if live and feature.startswith("w:"):
             held[mark] += len(text.split())
     best = max(held, key=held.get, default="")
     if not best:
-        return first, last
+        return first, last, False
     own = [i for i, t in enumerate(got) if t[4] == best]
-    return min(first, own[0]), max(last, own[-1] + 1)
+    return min(first, own[0]), max(last, own[-1] + 1), True
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
@@ -187,11 +196,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             scores.append(words * (max(weights.get(feature, WORD), 0.1) if live else OUTSIDE))
         else:
             scores.append(weights.get(feature, BLOCK_TAG if block else TAG))
-    first, last = whole_article(got, *best_region(scores))
+    first, last, marked = whole_article(got, *best_region(scores))
     blocks, held = [], []
-    for feature, text, block, live, _ in got[first:last]:
+    for feature, text, block, live, mark in got[first:last]:
         if feature.startswith("w:"):
-            if live:
+            # where articles are marked, words between them are none of theirs
+            if live and (mark or not marked):
                 held.append(text)
         elif feature == "br":
             held.append(" ")

@@ -59,6 +59,15 @@ def test_langid(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.9 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_langid_ties(spark):
+    """With weights that say nothing all languages are equal, and the first in alphabetical order is taken; repeats are sampled alike."""
+    model = langid.Model(["aa", "bb"], np.ones(langid.DIM), np.zeros((langid.DIM, 2)), 1.0)
+    assert langid.predict(frame(spark, ["x y"]), model).first()["lang_pred"] == "aa"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b = langid.train(docs, 60), langid.train(docs.orderBy("n_chars"), 60)
+    assert (a.weights == b.weights).all() and a.weights.any()
+
+
 def test_langid_edges(spark):
     docs = clashing(frame(spark, ODD, [None, *range(1, len(ODD))]))
     model = langid.train(docs)
@@ -470,6 +479,39 @@ def test_pages_frame_hints():
     assert text("<body><article><p>A short article stands here.</p><article class='comment'><p>No.</p></article></article></body>") == "A short article stands here."
 
 
+def test_pages_tags():
+    text = lambda page: html_extract.main_text(page, {})
+    assert text('<p>some <b title="5" tall">words</b> here and there</p>') == "some words here and there"
+    assert text("<div>one two three</div><article><p>first text of some words</p></article><div>four</div><article><p>second text of some words</p></article>") == "first text of some words\nsecond text of some words"
+    assert text("<p>words of a text <a href='x\" y='z'>and a link</a> stand here</p>") == "words of a text and a link stand here"
+    assert text("<p title = \"a > b\" hidden=x/y>all of these words</p>") == "all of these words"
+    assert text("<p>a < b and b <= c</p>") == "a < b and b <= c" and text("words before <a href") == "words before <a href"
+    assert text("<article><p>words <!-- <p>not these</p> --> of it</p></article>") == "words of it"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b=\"", "<a b=\">\" ", "<a b='\" c=\"<a b='", "<!", "<", "</a ", "<a b=\"<a b='\" c='"])
+def test_pages_time(part):
+    """Time grows with the page and not with its square."""
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        html_extract.main_text(part * n, {})
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(80_000) < 20 * max(took(8_000), 0.01)
+
+
+def test_sample_bound():
+    from relweave.llm.common import hash_bound
+
+    for n in (10**4, 10**9, 10**12, 10**15):
+        share = (hash_bound(1000, n) + 2**63) / 2**64
+        assert math.isclose(share, 1000 / n, rel_tol=1e-3)
+    assert hash_bound(1000, 10) == 2**63 - 1
+
+
 def test_best_region():
     r = random.Random(9)
     for _ in range(200):
