@@ -232,6 +232,44 @@ def test_knn(spark):
     assert knn.top_k(data.where("vec_id in (0, 1)"), data.where("vec_id = 0")).count() == 1
 
 
+def test_knn_groups(spark, monkeypatch):
+    """Clusters far apart, with blocks that groups share and groups of many blocks; and most groups need not be seen."""
+    r = np.random.default_rng(5)
+    middles = r.normal(size=(12, 6)) * 40
+    rows = [(i, [float(x) for x in middles[i % 12] * (1 if i % 12 else 0.01) + r.normal(size=6)]) for i in range(900)]
+    rows += [(1000 + i, rows[3][1]) for i in range(200)]
+    data = knn.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    vectors = {x["vec_id"]: np.array(x["v"]) for x in data.collect()}
+    queries = [i for i in vectors if i % 50 == 0]
+    for block in (7, 64, 5000):
+        monkeypatch.setattr(knn, "BLOCK", block)
+        got = collections.defaultdict(list)
+        for x in knn.top_k(data, data.where("vec_id % 50 = 0")).collect():
+            got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+        for q in queries:
+            best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:5]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    sizes = [3, 4, 20, 1, 1, 6, 30, 2]
+    places = knn.in_blocks(sizes, 8)
+    assert all(many == -(-n // 8) for n, (_, many) in zip(sizes, places, strict=True))
+    used = collections.Counter()
+    for n, (first, many) in zip(sizes, places, strict=True):
+        used.update({b: n / many for b in range(first, first + many)})
+    assert max(used.values()) <= 8 and set(used) == set(range(max(used) + 1))
+
+
+def test_knn_bounds():
+    r = np.random.default_rng(6)
+    x, q = r.integers(-500, 500, (400, 5)), r.integers(-500, 500, (30, 5)).astype(float)
+    centres = x[:20].astype(float)
+    group = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+    far = np.array([np.sqrt(((x[group == g] - centres[g]) ** 2).sum(1)).max() for g in range(20)])
+    norm = np.array([np.sqrt((x[group == g] ** 2).sum(1)).max() for g in range(20)])
+    bound, scores = knn.group_bounds(q, centres, far, norm), q @ x.T
+    assert all((scores[:, group == g] <= bound[:, [g]]).all() for g in range(20)) and (bound < scores.max(1)[:, None] / 2).any()
+    assert knn.pivot_count(10**12, 64) * 64 * 8 <= knn.PIVOT_BYTES and knn.pivot_count(10_000, 64) == 101
+
+
 # --- Jaccard join
 
 
