@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,15 @@ def values(rows: list[tuple], names: str) -> str:
     return f"{names} AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)})"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a fresh one where all is one process."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="relweave-")
+
+
 # --- sources: places of rows, row groups, lookups
 
 PLACED = "placed AS (SELECT (row_number() OVER () - 1)::BIGINT AS position, * FROM lineitem)"
@@ -223,11 +234,8 @@ def judged_with_retry(spark, sf):
         answers = {0: '{{"status": "judged", "grade": {}, "reason": "because"}}', 1: '{{"status": "unable_to_judge", "grade": null, "reason": "unclear"}}', 2: "no JSON {}"}
         return [answers[int(p) % 3].format(int(p) % 4) for p in prompts]
 
-    import uuid
-
     tasks = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("prompt"))
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/relweave"
-    return E.judge(tasks, respond, f"{place}/judged-{uuid.uuid4().hex}", ["p_partkey"]).select("p_partkey", "status", "grade", "attempt")
+    return E.judge(tasks, respond, f"{shared_folder(spark)}/judged-{uuid.uuid4().hex}", ["p_partkey"]).select("p_partkey", "status", "grade", "attempt")
 
 
 PEOPLE = """people AS (SELECT doc_id, 'ann' AS annotator, 2 * quality + 1 - toxic AS grade, CASE WHEN doc_id % 5 = 0 THEN 'unsure' ELSE 'complete' END AS status FROM labels
