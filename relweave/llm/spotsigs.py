@@ -1,10 +1,12 @@
 """SpotSigs document fingerprints, with DataFrame functions only.
 
 A signature is an anchor, which is a common word of one of four languages, and the CHAIN content words that follow
-it; common words between them, up to GAP at a time, are passed over. A text's fingerprint is the sorted set of its
+it; common words between them, however many, are passed over. A text's fingerprint is the sorted set of its
 signatures' 32-bit hashes, joined by commas; a text without a signature uses its words instead. The likeness of two
 fingerprints is their Jaccard similarity. Sets of length n are in partition floor(log(n) / log(1 / TAU)), and
-sets that are alike to TAU are in the same or in neighbouring partitions (`alike` prunes by that and by length).
+sets that are alike to TAU are in the same or in neighbouring partitions. `near_duplicates` joins all fingerprints
+by that: sets meet over the rarest signatures that any partner has to share, inside a partition or with the one
+below, and pairs that length and the places of what they share rule out are dropped before they are compared.
 
 The next document in descending doc_id comes from a range partitioning of the ids: lead() inside a partition, and
 one row a partition for the ends. No task orders all rows.
@@ -21,9 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relweave.llm.common import materialize, read, shuffle_partitions
+from relweave.llm.common import connected_components, materialize, read, shuffle_partitions
 
-CHAIN, GAP, TAU = 2, 8, 0.8
+CHAIN, TAU = 2, 0.8
+#: Sets of one length partition and signature that a task compares with as many others.
+BLOCK = 256
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "the of and a to in is it that was for on are with be this by from at as an or not but "
@@ -33,8 +37,8 @@ ANCHORS = (
 )
 
 
-#: Marks an anchor while a text is taken apart; it is no letter or digit, so no word holds it.
-MARK = "\x01"
+#: Ends an anchor while a text is taken apart; it is no letter or digit, so no word holds it.
+MARK = "\x02"
 
 
 def any_of(words: list[str]) -> str:
@@ -47,26 +51,31 @@ def any_of(words: list[str]) -> str:
     return "" if not parts else "(?:" + "|".join(parts) + ")" + "?" * ends
 
 
-def pattern(chain: int = CHAIN, gap: int = GAP) -> tuple[str, str, str]:
-    """(an anchor to mark, the start of a signature with the whole of it captured, a marked anchor inside one)."""
-    anchor = f"{MARK}[^ ]+ "
-    link = f"(?:{anchor}){{0,{gap}}}[^ {MARK}][^ ]* "
-    return f" ({any_of(ANCHORS.split())})(?= )", f" (?=({anchor}{link * chain}))", f"(?<= ){anchor}"
-
-
 def normal(text: Column) -> Column:
     """Lower-case words with single spaces, and one at each end."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def spots(words: Column, chain: int = CHAIN) -> Column:
+    """The signatures of a normal text. A cell is a content word with the run of anchors before it, so a run may have any length."""
+    cells = F.split(F.trim(F.regexp_replace(words, f"(?<= )({any_of(ANCHORS.split())}) ", f"$1{MARK}")), " ")
+    contents = F.transform(cells, lambda x: F.nullif(F.substring_index(x, MARK, -1), F.lit("")))
+    after = contents
+    for k in range(1, chain):
+        after = F.zip_with(after, F.slice(contents, k + 1, F.size(contents)), lambda x, y: F.concat(x, F.lit(" "), y))
+
+    def signed(cell: Column, follows: Column) -> Column:
+        # what comes before the last mark is the run, the rest the content word
+        run = F.split(F.regexp_extract(cell, f"^(.*){MARK}", 1), MARK)
+        return F.when(F.contains(cell, F.lit(MARK)), F.transform(run, lambda x: F.concat(x, F.lit(" "), follows)))
+
+    return F.array_compact(F.flatten(F.array_compact(F.zip_with(cells, after, signed))))
+
+
 def add_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the array column out: sorted distinct hashes of the signatures of column text."""
-    anchor, start, between = pattern()
-    df = df.withColumn(f"{out}_words", normal(F.col(text)))
-    marked = F.regexp_replace(f"{out}_words", anchor, f" {MARK}$1")
-    found = F.array_join(F.regexp_extract_all(marked, F.lit(start), F.lit(1)), "\n")
-    df = df.withColumn(f"{out}_found", F.regexp_replace(found, between, ""))
-    parts = F.when(F.col(f"{out}_found") != "", F.split(f"{out}_found", "\n")).otherwise(F.filter(F.split(f"{out}_words", " "), lambda x: x != ""))
+    df = df.withColumn(f"{out}_words", normal(F.col(text))).withColumn(f"{out}_found", spots(F.col(f"{out}_words")))
+    parts = F.when(F.size(f"{out}_found") > 0, F.col(f"{out}_found")).otherwise(F.filter(F.split(f"{out}_words", " "), lambda x: x != ""))
     df = df.withColumn(out, F.sort_array(F.array_distinct(F.transform(parts, lambda x: F.hash(x)))))
     return df.drop(f"{out}_words", f"{out}_found")
 
@@ -82,11 +91,66 @@ def length_partition(n: Column, tau: float = TAU) -> Column:
     return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.log(F.lit(1 / tau)) + 1e-9).cast("int")
 
 
-def alike(a: Column, b: Column, tau: float = TAU) -> Column:
-    """Whether two sets have a likeness of at least tau; intersected only where partition and length allow it."""
-    n, m = F.size(a), F.size(b)
-    close = (F.abs(length_partition(n, tau) - length_partition(m, tau)) <= 1) & (F.least(n, m) >= F.lit(tau) * F.greatest(n, m))
-    return F.when(close, likeness(a, b) >= tau).otherwise(F.lit(False))
+def candidates(sets: DataFrame, tau: float = TAU) -> DataFrame:
+    """Pairs (a, b) of rep of sets (rep, sigs, n) that may be alike to tau; every pair that is alike is among them.
+
+    Signatures are ordered by how many sets hold them, rarest first. Sets of n and m that are alike share tau times
+    the larger of n and m at least, so they share one of the first n - ceil(tau * n) + 1. A signature that is still
+    in many sets is dealt into pairs of blocks, so no task holds all of its sets."""
+    least = F.ceil(F.lit(tau) * F.col("n") - 1e-9)
+    each = sets.select("rep", "n", least.alias("least"), F.explode("sigs").alias("sig"))
+    often = each.groupBy("sig").agg(F.count("*").alias("often"))
+    order = W.partitionBy("rep").orderBy("often", "sig")
+    first = each.join(often.where("often > 1"), "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    first = first.withColumn("at", F.row_number().over(order)).where("at <= n - least + 1 and often > 1")
+    first = materialize(first.select("rep", "n", "sig", "at", length_partition(F.col("n"), tau).alias("part")), "prefixes")
+    # a set meets those of its own partition and of the one below
+    size = first.select("sig", F.explode(F.array("part", F.col("part") + 1)).alias("part")).groupBy("sig", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    upper = first.join(size, ["sig", "part"]).select("sig", "part", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), own.alias("x"), every.alias("y"))
+    lower = first.select("rep", "n", "sig", "at", F.col("part").alias("home"), F.explode(F.array("part", F.col("part") + 1)).alias("part")).join(size, ["sig", "part"])
+    lower = lower.select("sig", "part", "home", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), own.alias("y"), every.alias("x"))
+    once = F.when(F.col("home") == F.col("part"), F.col("a") < F.col("b")).otherwise(F.lit(True))
+    close = F.least("n_a", "n_b") >= F.lit(tau) * F.greatest("n_a", "n_b") - 1e-9
+    met = upper.join(lower, ["sig", "part", "x", "y"]).where(once & close)
+    met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    # all else that they share comes after the last signature they met over
+    most = F.col("met") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    return met.where(most >= F.lit(tau) * (F.col("n_a") + F.col("n_b") - most) - 1e-9).select("a", "b")
+
+
+def links(sets: DataFrame, tau: float = TAU) -> DataFrame:
+    """(a, b, likeness) of each pair of sets (rep, sigs, n) that is alike to tau, once."""
+    a = sets.select(F.col("rep").alias("a"), F.col("sigs").alias("sigs_a"))
+    b = sets.select(F.col("rep").alias("b"), F.col("sigs").alias("sigs_b"))
+    return candidates(sets, tau).join(a, "a").join(b, "b").select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("likeness")).where(F.col("likeness") >= F.lit(tau))
+
+
+def near_duplicates(docs: DataFrame, tau: float = TAU) -> DataFrame:
+    """(doc_id, class_id, rep_id, n_copies, n_links) of every row, by the fingerprints of all documents.
+
+    rep_id is the smallest doc_id of the same fingerprint and n_copies how many rows have it; n_links is the number of
+    other fingerprints of a likeness of tau or more; class_id is the smallest doc_id that links lead to. Texts without
+    a word are copies of each other; a row without a doc_id is a class of its own, with null ids; rows that share a
+    doc_id but not a fingerprint are linked through it."""
+    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = materialize(add_signatures(every, "text", "sigs").select("doc_id", "sigs", F.sha2(fingerprint(F.col("sigs")), 256).alias("key")), "signatures")
+    sets = every.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"), F.first("sigs").alias("sigs"))
+    # a number of its own for each set: rows that share a doc_id may have several
+    sets = sets.select("key", "low", "n_copies", "sigs", F.size("sigs").alias("n"), F.monotonically_increasing_id().alias("rep"))
+    sets = materialize(sets, "sets")
+    found = materialize(links(sets.where("n > 0").select("rep", "sigs", "n"), tau), "links")
+    n_links = found.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    held = every.select("doc_id", "key").distinct().join(sets.select("key", "rep"), "key").select("doc_id", "rep")
+    shared = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    parts = connected_components(found.select("a", "b").union(shared))
+    known = sets.join(n_links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    classes = known.groupBy("component").agg(F.min("low").alias("class_id"))
+    known = known.join(classes, "component").select("key", "class_id", F.col("low").alias("rep_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    none = F.lit(None).cast("long")
+    lost = docs.where("doc_id is null").select(none.alias("doc_id"), none.alias("class_id"), none.alias("rep_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    return every.select("doc_id", "key").join(known, "key").select("doc_id", "class_id", "rep_id", "n_copies", "n_links").union(lost)
 
 
 def fingerprint(signatures: Column) -> Column:

@@ -105,15 +105,110 @@ def test_spotsigs_edges(spark):
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
     one = spotsigs.fingerprints(frame(spark, ["the cat sat down"])).first()
     assert one["near_next"] == 1.0
+
+
+def spots_brute(text):
+    """Signatures of a text, by one walk over its words."""
+    import regex
+
+    words, common = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower()), set(spotsigs.ANCHORS.split())
+    found = set()
+    for i, w in enumerate(words):
+        follows = [x for x in words[i + 1 :] if x not in common][: spotsigs.CHAIN] if w in common else []
+        if len(follows) == spotsigs.CHAIN:
+            found.add(" ".join([w, *follows]))
+    return found or set(words)
+
+
+def spotted(n=160, seed=3):
+    """Texts with near copies on both sides of the threshold, exact ones, long runs of common words, and odd ones."""
+    rng = random.Random(seed)
+    common, words = spotsigs.ANCHORS.split(), [f"w{i}" for i in range(60)]
+    texts = [None, "", "the", "the of and", "the " * 40 + "cat sat", "cat sat", "x", "...", "the cat the", "The Cat, sat down"]
+    for _ in range(n):
+        if len(texts) > 15 and rng.random() < 0.7:
+            copy = (rng.choice(texts[10:])).split()
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 5])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+        else:
+            texts.append(" ".join(rng.choice(common if rng.random() < 0.5 else words) for _ in range(rng.choice([3, 40, 90, 160]))))
+    return texts
+
+
+def test_spots(spark):
     from pyspark.sql import functions as F
 
-    sets = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 4, 5]), ([1], [1, 2]), ([], [])], "a array<int>, b array<int>")
-    assert [r[0] for r in sets.select(spotsigs.alike(F.col("a"), F.col("b"))).collect()] == [True, False, True]
+    texts = [t or "" for t in [*spotted(), *base_text()[:100]]]
+    rows = frame(spark, texts).select("doc_id", spotsigs.spots(spotsigs.normal(F.col("text"))).alias("s")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        brute = spots_brute(texts[r["doc_id"]])
+        assert set(r["s"]) == (brute if any(" " in x for x in brute) else set())
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_spotsigs_join(spark, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    texts = spotted()
+    ids = random.Random(2).sample(range(1000), len(texts))
+    ids[20], ids[21] = None, ids[22]
+    got = spotsigs.near_duplicates(clashing(frame(spark, texts, ids))).collect()
+    sets = [spots_brute(t) for t in texts]
+    low, copies = {}, collections.Counter()
+    for i, s in zip(ids, sets, strict=True):
+        if i is not None:
+            k = frozenset(s)
+            low[k], copies[k] = min(i, low.get(k, i)), copies[k] + 1
+    keys = list(low)
+    linked = {k: [x for x in keys if x != k and k and x and len(k & x) >= spotsigs.TAU * len(k | x)] for k in keys}
+    joined = {k: set(linked[k]) for k in keys}
+    for i in set(ids) - {None}:
+        of = [frozenset(s) for j, s in zip(ids, sets, strict=True) if j == i]
+        for k in of:
+            joined[k] |= set(of)
+
+    def least(k):
+        seen, todo = {k}, [k]
+        while todo:
+            for x in joined[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        return min(low[x] for x in seen)
+
+    want = [(None, None, None, 1, 0) if i is None else (i, least(k), low[k], copies[k], len(linked[k])) for i, k in zip(ids, map(frozenset, sets), strict=True)]
+    order = lambda rows: sorted(rows, key=str)
+    assert sum(len(x) for x in linked.values()) > 50 and any(copies[k] > 1 for k in keys)
+    assert order(tuple(r) for r in got) == order(want)
+
+
+def test_spotsigs_join_edges(spark):
+    docs = frame(spark, ["the cat sat", None, "", "the cat sat"], [4, 7, 2, None])
+    assert sorted(map(tuple, spotsigs.near_duplicates(docs).collect()), key=str) == [(2, 2, 2, 2, 0), (4, 4, 4, 1, 0), (7, 2, 2, 2, 0), (None, None, None, 1, 0)]
+    assert spotsigs.near_duplicates(docs.limit(0)).count() == 0
+    assert spotsigs.near_duplicates(docs.where("doc_id is null")).count() == 1
+
+
+def test_length_partition(spark):
+    from pyspark.sql import functions as F
+
+    ns = spark.range(1, 3000).select("id", spotsigs.length_partition(F.col("id")).alias("p")).collect()
+    part = {r["id"]: r["p"] for r in ns}
+    assert all(0 <= part[math.floor(n / spotsigs.TAU)] - part[n] <= 1 for n in range(1, 2300))
+
+
+def test_spotsigs_long(spark):
+    """A very long text of common words only, and one of many signatures."""
+    texts = ["the " * 300_000, "the of " * 150_000 + "cat sat", " ".join(f"the w{i} of v{i}" for i in range(40_000))]
+    got = {r["doc_id"]: r for r in spotsigs.fingerprints(frame(spark, texts)).collect()}
+    assert got[0]["n_signatures"] == 1 and got[1]["n_signatures"] == 2 and 79_990 <= got[2]["n_signatures"] <= 80_000
 
 
 def test_spotsigs_is_native(spark):
-    plan = spotsigs.fingerprints(frame(spark, ["a b"]))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    docs = frame(spark, ["a b"])
+    for df in (spotsigs.fingerprints(docs), spotsigs.near_duplicates(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 # --- BPE
