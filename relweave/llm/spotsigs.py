@@ -57,19 +57,21 @@ def normal(text: Column) -> Column:
 
 
 def spots(words: Column, chain: int = CHAIN) -> Column:
-    """The signatures of a normal text. A cell is a content word with the run of anchors before it, so a run may have any length."""
-    cells = F.split(F.trim(F.regexp_replace(words, f"(?<= )({any_of(ANCHORS.split())}) ", f"$1{MARK}")), " ")
-    contents = F.transform(cells, lambda x: F.nullif(F.substring_index(x, MARK, -1), F.lit("")))
-    after = contents
-    for k in range(1, chain):
-        after = F.zip_with(after, F.slice(contents, k + 1, F.size(contents)), lambda x, y: F.concat(x, F.lit(" "), y))
-
-    def signed(cell: Column, follows: Column) -> Column:
-        # what comes before the last mark is the run, the rest the content word
-        run = F.split(F.regexp_extract(cell, f"^(.*){MARK}", 1), MARK)
-        return F.when(F.contains(cell, F.lit(MARK)), F.transform(run, lambda x: F.concat(x, F.lit(" "), follows)))
-
-    return F.array_compact(F.flatten(F.array_compact(F.zip_with(cells, after, signed))))
+    """The signatures of a normal text; a MARK stands after the anchor.
+
+    A cell is a content word with the run of anchors before it, so a run may have any length. Each cell with a run
+    becomes a line with the content words that follow, and a line is taken apart only where its run has several anchors."""
+    cells = F.regexp_replace(words, f"(?<= )({any_of(ANCHORS.split())}) ", f"$1{MARK}")
+    link = f" (?:[^ ]*{MARK})?[^ {MARK}]+"
+    found = F.regexp_extract_all(cells, F.lit(f" (?=([^ {MARK}]+{MARK}[^ ]+{link * (chain - 1)}) )"), F.lit(1))
+    lines = F.regexp_replace(F.array_join(found, "\n"), f" [^ \n]*{MARK}", " ")
+
+    def apart(line: Column) -> Column:
+        # both are bound once: a run may be as long as a text
+        each = F.zip_with(F.array(F.split(line, MARK)), F.array(F.substring_index(line, MARK, -1)), lambda run, last: F.transform(F.slice(run, 1, F.size(run) - 1), lambda x: F.concat(x, F.lit(MARK), last)))
+        return F.when(F.substring_index(line, MARK, 2) == line, F.array(line)).otherwise(each.getItem(0))
+
+    return F.flatten(F.transform(F.filter(F.split(lines, "\n"), lambda x: x != ""), apart))
 
 
 def add_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
