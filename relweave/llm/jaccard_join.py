@@ -2,9 +2,11 @@
 
 Documents with the same set of shingles are one class; only class representatives are compared. MinHash bands
 (BANDS of ROWS values) bring together representatives; a pair of similarity 0.8 shares no band with probability
-3e-6. Each band bucket links its members to its smallest one, so buckets cost their size and not its square, and
-the components of these links are the units that are compared inside: every pair of a component's members is a
-candidate. Components are cut into blocks, a task compares two blocks.
+3e-6. Each band bucket links its members to its smallest one, so buckets cost their size and not its square; every
+candidate pair lies in one component of these links. What is compared inside, the unit, is a whole component or each of
+its buckets, whichever copies fewer rows: a group of near copies shares most of its buckets and is one unit, while texts
+that only chains of unlike ones hold together are compared bucket by bucket, each pair in the first bucket that it
+shares. Both ways find every pair that shares a band. Units are cut into blocks, a task compares two blocks.
 
 Candidates are pruned as MinHash values are read, STEP at a time: with m of n values equal and a flat prior, the
 probability that the similarity is at least t is P(Bin(n + 1, t) <= m); a pair is dropped once that is below
@@ -93,9 +95,12 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, n:
     return out
 
 
-def compare(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray | None, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each i of first, its links among second, or among the later ones of first if second is None."""
+def compare(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray | None, threshold: float, band: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each i of first, its links among second, or among the later ones of first if second is None.
+
+    band: the bucket that all sets are in; links whose first common bucket is another one are left to that one."""
     signs = np.stack([minhash(s) for s in sets])
+    bands = None if band is None else np.stack([band_keys(s) for s in signs])
     sizes = np.array([len(s) for s in sets])
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     ends = np.cumsum(sizes)
@@ -110,6 +115,8 @@ def compare(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray | None
             alive, equal = alive[equal >= m], equal[equal >= m]
             if not len(alive):
                 break
+        if bands is not None and len(alive):
+            alive = alive[bands[i][(bands[alive] == bands[i]).argmax(axis=1)] == band]
         if not len(alive):
             continue
         own = codes[starts[i] : ends[i]]
@@ -137,21 +144,35 @@ def features(docs: DataFrame) -> DataFrame:
     return map_arrow(kept, run, "doc_id long, key binary, n_shingles int, bands array<long>")
 
 
-def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (a, b, n): n links of a where b is null, else an edge of a spanning forest of links."""
+def units(classes: DataFrame) -> DataFrame:
+    """(rep, unit, in_bucket, blocks): the units that each representative is compared in, and their numbers of blocks.
+
+    unit is a component's smallest member, or a bucket's key where in_bucket."""
     most = BANDS * classes.count()
-    member = classes.where("n_shingles > 0").select("rep", F.explode("bands").alias("band"))
-    low = member.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("band", "low")
-    low = materialize(low, "bands", most)
-    edges = member.join(low, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    banded = classes.where("n_shingles > 0").select("rep", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialize(buckets, "bands", most)
+    edges = banded.join(buckets, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     parts = connected_components(edges, most=most)
-    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    parts = parts.join(sizes, "component").select("component", F.col("node").alias("rep"), "blocks", block.alias("own"))
-    parts = parts.join(classes.select("rep", "key"), "rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(parts, "rep")
+    by_bucket = buckets.join(parts, F.col("low") == F.col("node")).groupBy("component").agg(F.sum(F.col("n") * blocks).alias("by_bucket"))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n")).join(by_bucket, "component")
+    sizes = materialize(sizes.select("component", blocks.cast("int").alias("blocks"), (F.col("n") * blocks <= F.col("by_bucket")).alias("whole")), "units", most)
+    parts = parts.join(sizes, "component")
+    out = parts.where("whole").select(F.col("node").alias("rep"), F.col("component").alias("unit"), F.lit(False).alias("in_bucket"), "blocks")
+    if sizes.where("not whole").isEmpty():
+        return out
+    chained = classes.join(parts.where("not whole").select(F.col("node").alias("rep")), "rep").select("rep", F.explode("bands").alias("band"))
+    return out.union(chained.join(buckets, "band").select("rep", F.col("band").alias("unit"), F.lit(True).alias("in_bucket"), blocks.cast("int").alias("blocks")))
+
+
+def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (a, b, n): n links of a where b is null, else an edge of a spanning forest of links."""
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = units(classes).withColumn("own", block).join(classes.select("rep", "key"), "rep")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(placed, "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.withColumn("other", other).select("component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "key", "text")
+    dealt = texts.withColumn("other", other).select("unit", "in_bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "key", "text")
 
     def solve(key: tuple, cols: dict[str, list]) -> Iterator[dict[str, list]]:
         ids, sets, own = [], [], []
@@ -165,7 +186,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
                 ids.append(rep)
                 sets.append(s)
                 own.append(o)
-        _, x, y = key
+        unit, in_bucket, x, y = key
         where = np.array(own)
         if len(ids) < 2 or x != y and not ((where == x).any() and (where == y).any()):
             return
@@ -178,7 +199,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
             return i
 
         a, b = [], []
-        for i, linked in compare(sets, np.flatnonzero(where == x), None if x == y else np.flatnonzero(where == y), threshold):
+        for i, linked in compare(sets, np.flatnonzero(where == x), None if x == y else np.flatnonzero(where == y), threshold, unit if in_bucket else None):
             count[i] += len(linked)
             for j in linked.tolist():
                 count[j] += 1
@@ -190,7 +211,7 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
         if some:
             yield {"a": [ids[i] for i in some] + a, "b": [None] * len(some) + b, "n": [count[i] for i in some] + [0] * len(a)}
 
-    return map_groups(dealt, ["component", "x", "y"], solve, "a long, b long, n long", sort=["rep"])
+    return map_groups(dealt, ["unit", "in_bucket", "x", "y"], solve, "a long, b long, n long", sort=["rep"])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

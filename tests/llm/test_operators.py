@@ -415,6 +415,30 @@ def test_jaccard(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {c for c, _, _ in got.values()}
 
 
+def drifting(n, seed=6):
+    """Each text differs from the one before in a word, so that a chain joins texts with nothing in common."""
+    r = random.Random(seed)
+    words = [f"v{r.randrange(10**6)}" for _ in range(60)]
+    out = []
+    for i in range(n):
+        words[i * 7 % 60] = f"y{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_jaccard_chains(spark, monkeypatch):
+    """A component that only a chain holds together is compared by buckets, a group of near copies as a whole."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    texts = [*drifting(400), *near_copies(30), *ODD]
+    docs = frame(spark, texts)
+    found = jaccard_join.features(docs).withColumnRenamed("doc_id", "rep")
+    dealt = jaccard_join.units(found.dropDuplicates(["key"])).collect()
+    assert {r["rep"] for r in dealt if r["in_bucket"]} >= set(range(100, 300))
+    assert {r["rep"] for r in dealt if not r["in_bucket"]} >= set(range(400, 420))
+    got = {r["doc_id"]: (r["class_id"], r["rep_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == jaccard_brute(texts)
+
+
 def test_jaccard_edges(spark):
     got = jaccard_join.near_duplicates(frame(spark, ["a b", "a b", "c"], [None, 4, 4])).collect()
     assert sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in got) == [(-1, -1), (4, 4), (4, 4)]
