@@ -70,7 +70,7 @@ def newer() -> tuple[regex.Pattern, dict[int, str]]:
     Python does not know and the regex module calls letters or numbers, the library's own matcher and lower case say
     what they are.
     """
-    held = worker_cache()
+    held = worker_cache("bpe")
     if "newer" not in held:
         from tokenizers import Regex, normalizers, pre_tokenizers
 
@@ -113,7 +113,7 @@ class Bpe:
 
     @staticmethod
     def load(path: str) -> Bpe:
-        cache = worker_cache()
+        cache = worker_cache("bpe")
         return cache.get(("bpe", path)) or cache.setdefault(("bpe", path), Bpe(path))
 
     def merge(self, ids: list[int]) -> list[int]:

@@ -67,7 +67,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        held = worker_cache()
+        held = worker_cache("bpe")
         cache = held.get(("digests", path)) or held.setdefault(("digests", path), _digest_cache(path))
         bpe = Bpe.load(path)
         out: dict[str, list] = {"doc_id": cols["k"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

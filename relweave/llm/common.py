@@ -63,10 +63,15 @@ def hash_below(hashed: Column, wanted: float, n: int) -> Column:
     return F.lit(True) if wanted >= n else hashed < F.lit(hash_bound(wanted, n)).cast("long")
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, so tables are built once a worker and not once a task."""
-    holder = sys.modules.setdefault("_relweave_worker", types.ModuleType("_relweave_worker"))
-    return holder.__dict__.setdefault("cache", {})
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker, so tables are built once a worker and not once a task.
+
+    A worker is used again by later stages: the tables of one owner go when another asks for its own, so that memory is
+    that of the operator at work and not of all before it."""
+    holder = sys.modules.setdefault("_relweave_worker", types.ModuleType("_relweave_worker")).__dict__
+    if holder.get("owner") != owner:
+        holder["owner"], holder["cache"] = owner, {}
+    return holder["cache"]
 
 
 def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str, rows: int = 2000) -> DataFrame:

@@ -41,7 +41,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    held = worker_cache()
+    held = worker_cache("jaccard")
     cache = held.get("words") or held.setdefault("words", ChunkCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 300_000))
     return np.array([cache[w] for w in words], np.uint64)
 
@@ -65,7 +65,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def minhash(s: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
-    held = worker_cache()
+    held = worker_cache("jaccard")
     if ("minhash", n) not in held:
         r = np.random.Generator(np.random.PCG64(20240229))
         held["minhash", n] = r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)

@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
 
 def letters() -> np.ndarray:
     """For each code point itself if it is a letter, else a space."""
-    held = worker_cache()
+    held = worker_cache("langid")
     if "letters" not in held:
         held["letters"] = np.fromiter((c if not 0xD800 <= c < 0xE000 and chr(c).isalpha() else 32 for c in range(0x110000)), np.uint32, 0x110000)
     return held["letters"]

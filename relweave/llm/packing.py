@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_
     """Full windows of every document, and its rest: (doc_id, start, length, ids_crc32, doc_tokens)."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
-        held, bpe = worker_cache(), Bpe.load(path)
+        held, bpe = worker_cache("bpe"), Bpe.load(path)
         cache = held.get(("ids", path)) or held.setdefault(("ids", path), id_bytes(bpe))
         end, step = array("I", [END_ID]).tobytes(), 4 * window
         out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}

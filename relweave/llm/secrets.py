@@ -62,7 +62,7 @@ def in_order(spans: list[Span]) -> list[Span]:
 
 def vocabulary_encoder(path: str):
     """A tiktoken encoding of a rank file, made once a worker."""
-    held = worker_cache()
+    held = worker_cache("secrets")
     if ("tiktoken", path) not in held:
         import public_tokenizers
         import tiktoken

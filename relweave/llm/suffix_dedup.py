@@ -58,7 +58,7 @@ BASE = 0x9E3779B97F4A7C15
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and BASE ** -i modulo 2 ** 64."""
-    held = worker_cache()
+    held = worker_cache("suffix")
     if "powers" not in held or len(held["powers"][0]) < n:
         size = max(n, 1 << 16)
         both = []
