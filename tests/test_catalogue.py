@@ -75,3 +75,11 @@ def test_every_row_group(spark, duck, grouped, name):
     want = duck.execute(SQL[name])
     expected = plain(want.fetchall(), [c[0] for c in want.description])
     assert plain([tuple(r) for r in df.collect()], df.columns) == expected
+
+
+def test_sizes_of_row_groups(spark, duck, grouped):
+    """Several row groups are several rows, as the footer has them; together they are the rows that the SQL counts."""
+    footer = duck.execute(f"SELECT row_group_id, any_value(row_group_num_rows) FROM parquet_metadata('{grouped}/lineitem.parquet') GROUP BY ALL ORDER BY ALL").fetchall()
+    got = [tuple(r) for r in QUERIES["row_group_sizes"](spark, grouped).orderBy("row_group").collect()]
+    assert len(got) == 12 and [r[:2] for r in got] == footer and [r[2] for r in got] == list(range(0, 6000, 500))
+    assert sum(r[1] for r in got) == duck.execute(SQL["row_group_sizes"]).fetchone()[1]
